@@ -47,7 +47,7 @@ def held_out() -> F.Column:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate; for a scan, the size of its files. Only ever used to choose how finely to deal rows out."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def raw(column) -> list:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality_rules, secrets_scan
+from tessera.llm import ngram_join, packing, quality_rules, secrets_scan
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORDS)
 
@@ -29,7 +33,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op7_quality_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_best_fit_packing, op7_quality_rules, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
