@@ -400,3 +400,13 @@ def counted(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.int64())], ["doc_id", "n_shingles", "component_id"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, component_id long")
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with its columns; rows without doc_id stay."""
+    joined = materialize(join(docs, n, percent), "components")
+    first = joined.where("component_id = doc_id").select("doc_id").distinct()
+    stay = docs.join(first, "doc_id", "left_semi")
+    if not joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id"])
+    return stay.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -67,3 +67,14 @@ def counts(text: bytes | None) -> tuple[int, ...]:
         max(map(len, seen), default=0),
         int((ids[1:] == ids[:-1]).sum()),
     )
+
+
+def ratios(columns) -> np.ndarray:
+    """A row of features per text from columns of NAMES (in that order); all finite, for empty texts too."""
+    c = dict(zip(NAMES, (np.asarray(x, np.float64) for x in columns)))
+    words, chars, lines = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1), np.maximum(c["n_lines"], 1)
+    return np.stack([
+        np.log1p(c["n_words"]), c["word_chars"] / words, np.log1p(c["longest_word"]), c["n_distinct"] / words, np.log1p(c["n_chars"] / lines),
+        c["n_symbols"] / chars, c["n_dup_lines"] / lines, c["n_repeat_words"] / words, c["n_doubled"] / words, c["n_upper"] / chars,
+        c["n_lower"] / chars, c["n_digits"] / chars, c["n_bangs"] / words, c["n_stops"] / words, c["n_commas"] / words,
+    ], 1)
