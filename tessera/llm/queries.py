@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets_scan, token_files
+from tessera.llm import language_id, mixing, neighbours, ngram_join, packing, quality_classifier, quality_rules, secrets_scan, token_files, warc
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -37,10 +38,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), BYTES)
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with the digest of their whole bytes in place of the bytes."""
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.find(table(spark, sf_dir, "documents")).drop("findings", "text_hash")
 
@@ -56,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_best_fit_packing, op5_token_files, op7_quality_rules, op9_secret_scan, op10_soft_membership_mixing, pipeline)
+    made = (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_best_fit_packing, op5_token_files, op6_warc_derivatives, op7_quality_rules, op8_learned_partitions, op9_secret_scan, op10_soft_membership_mixing, pipeline)
     return {f.__name__: f for f in made}
 
 
