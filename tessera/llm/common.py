@@ -55,3 +55,13 @@ def raw(column) -> list:
     import pyarrow as pa
 
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct `row`, so that no column added beside it can clash with one of its own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def text_of(rows, field: str = "text"):
+    """A field of an Arrow column of packed rows."""
+    return rows.field(rows.type.get_field_index(field))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tessera.llm import textstats
-from tessera.llm.common import materialize, raw, texts
+from tessera.llm.common import materialize, packed, raw, text_of, texts
 
 #: The domains of the labels table, in order.
 DOMAINS = {"clean": "quality = 1 and coalesce(toxic, 0) = 0", "toxic": "toxic = 1", "low": "quality = 0 and coalesce(toxic, 0) = 0"}
@@ -135,26 +135,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, words: int = WOR
     return {"classes": sorted(sizes), "words": known, "mean": mean, "spread": spread, "weights": fit_softmax((x - mean) / spread, y, sorted(sizes))}
 
 
-def posteriors(docs: DataFrame, model: dict, kept: list[str]) -> DataFrame:
-    """The columns named in kept, then m_tokens and m_<domain>, the posterior of each domain, of every whole text."""
+def posteriors(docs: DataFrame, model: dict) -> DataFrame:
+    """row (the struct of a document's columns), m_tokens and m_<domain>, the posterior of each domain, of every whole text."""
     names = [f"m_{d}" for d in DOMAINS]
-    fields = [docs.schema[c] for c in kept]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            x, tokens = features(raw(batch.column(len(kept))), model["words"])
+            x, tokens = features(raw(text_of(batch.column(0))), model["words"])
             p = np.full((len(x), len(names)), 0.0 if model["classes"] else 1 / len(names))
             if model["classes"]:
                 z = np.clip((x - model["mean"]) / model["spread"], -20, 20) @ model["weights"][:-1] + model["weights"][-1]
                 z = np.exp(z - z.max(1, keepdims=True))
                 p[:, model["classes"]] = z / z.sum(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(tokens), *(pa.array(p[:, k]) for k in range(len(names)))], [*kept, "m_tokens", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), *(pa.array(p[:, k]) for k in range(len(names)))], ["row", "m_tokens", *names])
 
-    schema = StructType([*fields, StructField("m_tokens", LongType()), *(StructField(n, DoubleType()) for n in names)])
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").cast("string").alias("m_text")).mapInArrow(run, schema)
+    rows = packed(docs)
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("m_tokens", LongType()), *(StructField(n, DoubleType()) for n in names)]))
+
+
+def posterior_table(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, m_tokens and m_<domain> of every document, written once."""
+    rows = posteriors(texts(docs), model)
+    return materialize(rows.select("row.doc_id", *(c for c in rows.columns if c != "row")), "mixing")
 
 
 def rate(steps: list[list[float]]) -> F.Column:
@@ -199,7 +204,7 @@ def fit_rates(table: DataFrame, targets: dict[str, float], most: int = STEPS, ex
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, n_tokens, the posterior p_<domain> of each domain, and rate (expected copies in the mix) of every document."""
-    table = materialize(posteriors(texts(docs), fit(docs, labels), ["doc_id"]), "mixing")
+    table = posterior_table(docs, fit(docs, labels))
     return table.select("doc_id", F.col("m_tokens").alias("n_tokens"), *(F.col(f"m_{d}").alias(f"p_{d}") for d in DOMAINS), rate(fit_rates(table, targets)).alias("rate"))
 
 
@@ -210,8 +215,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     expected tokens of each domain match. Posteriors are computed again beside the columns, so no text is shuffled.
     """
     model = fit(docs, labels)
-    steps = fit_rates(materialize(posteriors(texts(docs), model, ["doc_id"]), "mixing"), targets)
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    whole = F.floor(rate(steps) + chance).cast("int")
-    rows = posteriors(docs, model, docs.columns).withColumn("m_copies", whole).where("m_copies > 0")
-    return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    steps = fit_rates(posterior_table(docs, model), targets)
+    chance = F.pmod(F.xxhash64(F.lit("mix"), "row.doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    rows = posteriors(docs, model).withColumn("m_copies", F.floor(rate(steps) + chance).cast("int")).where("m_copies > 0")
+    return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select("row.*")

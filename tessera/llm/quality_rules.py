@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import textstats
-from tessera.llm.common import materialize, raw, texts
+from tessera.llm.common import materialize, packed, raw, text_of, texts
 
 #: A rule's ratio in steps of 1 / STEPS, and the lower ends of the length strata in words.
 STEPS = 256
@@ -39,27 +39,37 @@ RULES = {
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def counted(docs: DataFrame, kept: list[str]) -> DataFrame:
-    """The columns named in kept, then text_hash and textstats.NAMES of every whole text (each with a leading q_)."""
-    fields = [docs.schema[c] for c in kept]
+def counted(docs: DataFrame) -> DataFrame:
+    """row (the struct of a document's columns), text_hash and textstats.NAMES of every whole text."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            rows = raw(batch.column(len(kept)))
+            rows = raw(text_of(batch.column(0)))
             columns = zip(*map(textstats.counts, rows)) if rows else [[]] * len(textstats.NAMES)
             hashes = [xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(hashes, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], [*kept, "q_text_hash", *(f"q_{n}" for n in textstats.NAMES)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], ["row", "text_hash", *textstats.NAMES])
 
-    added = [StructField(f"q_{n}", LongType()) for n in ("text_hash", *textstats.NAMES)]
-    return docs.select(*(F.col(c) for c in kept), F.col("text").cast("string").alias("q_text")).mapInArrow(run, StructType([*fields, *added]))
+    rows = packed(docs)
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *(StructField(n, LongType()) for n in ("text_hash", *textstats.NAMES))]))
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and textstats.NAMES of every whole text."""
-    return counted(texts(docs), ["doc_id"]).select("doc_id", *(F.col(f"q_{n}").alias(n) for n in ("text_hash", *textstats.NAMES)))
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            rows = raw(batch.column(1))
+            columns = zip(*map(textstats.counts, rows)) if rows else [[]] * len(textstats.NAMES)
+            hashes = [xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "text_hash", *textstats.NAMES])
+
+    return texts(docs).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in textstats.NAMES))
 
 
 def with_rules(measured: DataFrame) -> DataFrame:
@@ -132,7 +142,5 @@ def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float =
     The cutoffs are learned first; a second pass counts each text again beside its columns, so no text is shuffled.
     """
     chosen = cutoffs(materialize(with_rules(measure(docs)), "quality-rules"), labels, risk, delta, weight)
-    again = counted(docs, docs.columns)
-    bare = F.struct(*(F.col(f"q_{n}").alias(n) for n in textstats.NAMES)).alias("q")
-    rows = again.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), bare).select("row", "q.*")
-    return with_rules(rows).where(~F.col("base_failed") & (F.size(broken_rules(chosen)) == 0)).select("row.*")
+    rows = with_rules(counted(docs))
+    return rows.where(~F.col("base_failed") & (F.size(broken_rules(chosen)) == 0)).select("row.*")

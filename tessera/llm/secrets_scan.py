@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tessera.llm.common import materialize, texts
+from tessera.llm.common import materialize, packed, text_of, texts
 
 SALTS = 16
 #: Fixed patterns of the base kinds, in their order: kind, pattern, the group that must be long enough, its least length.
@@ -144,16 +144,16 @@ def redact(docs: DataFrame, repository: str = "source", owner: str = "source", m
     found = classified(materialize(scan(docs, repository, owner), "secret-scan"), max_owners)
     more = found.select("key_id", F.struct("key_hash", F.filter("found", lambda x: x["live"] & (x["kind"] >= len(BASE))).alias("spans")).alias("more")).where(F.size("more.spans") > 0)
     more = more.groupBy("key_id").agg(F.collect_list("more").alias("more"))
-    columns = docs.columns
-    at = columns.index("text")
+    rows = packed(docs)
+    kind = rows.schema["row"]
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            new = []
-            for text, extra in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
+            row, new = batch.column(0), []
+            for text, extra in zip(text_of(row).to_pylist(), batch.column(1).to_pylist()):
                 if text is not None:
                     spans = [x for x in matches(text) if x[2] < len(BASE)]
                     if extra:
@@ -167,10 +167,12 @@ def redact(docs: DataFrame, repository: str = "source", owner: str = "source", m
                         here = max(here, b)
                     text = "".join(parts) + text[here:]
                 new.append(text)
-            made = list(batch.columns[: len(columns)])
-            made[at] = pa.array(new, made[at].type)
-            yield pa.RecordBatch.from_arrays(made, names=columns)
-
-    marked = docs.join(more, F.col("doc_id").eqNullSafe(F.col("key_id")), "left").drop("key_id")
-    out = marked.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+            made = row.flatten()
+            made[row.type.get_field_index("text")] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(made, [f.name for f in row.type])], ["row"])
+
+    marked = rows.join(more, F.col("row.doc_id").eqNullSafe(F.col("key_id")), "left").select("row", "more")
+    out = marked.mapInArrow(run, StructType([kind])).select("row.*")
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
