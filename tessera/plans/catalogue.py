@@ -166,9 +166,9 @@ def patch_duplicate_keys(spark, d):
     return projections.patch_duplicate_keys(rows)
 
 
-@query("projection_get", "pe", "SELECT projection, lower(hex(key)) AS key, value FROM pe WHERE projection = '2-HIGH' AND key = 'cust:42'")
+@query("projection_get", "pe", "SELECT projection, lower(hex(key)) AS key, value FROM pe WHERE projection = '3-MEDIUM' AND key = 'cust:400'")
 def projection_get(spark, d):
-    return shown(projections.get(entries(spark, d), "2-HIGH", b"cust:42"))
+    return shown(projections.get(entries(spark, d), "3-MEDIUM", b"cust:400"))
 
 
 @query("projection_scan_prefix", "pe", "SELECT projection, lower(hex(key)) AS key, value FROM pe WHERE projection = '2-HIGH' AND starts_with(key, 'cust:1') ORDER BY pe.key LIMIT 50")
@@ -412,6 +412,6 @@ def export_jobs(spark, d):
     return export.redacted(views.jobs(spark, d).select(*JOB), "job", [])
 
 
-@query("limit_violations", "", "SELECT event_id, octet_length(encode(props))::BIGINT AS size FROM events WHERE octet_length(encode(props)) > 12")
+@query("limit_violations", "", "SELECT event_id, octet_length(encode(props))::BIGINT AS size FROM events WHERE octet_length(encode(props)) > 8")
 def limit_violations(spark, d):
-    return views.event_rows(spark, d).select("event_id", F.octet_length("payload").cast("long").alias("size")).where("size > 12")
+    return views.event_rows(spark, d).select("event_id", F.octet_length("payload").cast("long").alias("size")).where("size > 8")
