@@ -7,14 +7,17 @@ split into one segment per fragment, and fragments are worked on separately:
    overlap, so a document with fewer of them than similarity x size links with nothing and goes no further.
 2. `candidates`: each fragment lists pairs of documents whose prefixes meet there. A prefix is as long as
    it must be for any two similar documents to share an n-gram of it (prefix filter), less the n-grams
-   that no other document has.
+   that no other document has. Two documents may meet at an n-gram only if what each has from there on, in
+   the global order, is enough for the overlap that their two sizes ask for (positional filter): for the
+   first n-gram that they share, no more can follow.
 3. `overlaps`: each fragment counts the overlap of the candidate pairs in its own segments; the partial
    overlaps are summed per pair and compared with the threshold.
 
 Links only matter here as far as they join components, so candidates come in rounds: each prefix n-gram
-first pairs its documents with the least of them, then with the greatest, and lastly all documents that
-are still in different components. Large groups of near copies are joined in the first rounds by a number
-of pairs in proportion to the rows; the last round leaves no pair out. Texts with equal n-gram sets are one
+first pairs its documents with the one that has most left to share (in a group of near copies, the one
+nearest to their common source), then with the best of another component, and lastly all documents that are
+still in different components. Large groups of near copies are joined in the first rounds by a number of
+pairs in proportion to the rows; the last round leaves no pair out. Texts with equal n-gram sets are one
 component from the start, and within a task only the first of them is cut into segments.
 
 Rows travel as blocks (arrays of numbers in one binary value) rather than one row per n-gram. An n-gram is
@@ -206,24 +209,23 @@ def gathered(parts: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(found: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, prefix of each document that may link."""
+    """doc_id, n_shingles, n_codes (how many n-grams others have too), prefix of each document that may link."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out = []
+            out, counts = [], []
             for size, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                length = len(codes) // 8 - -(-percent * size // 100) + 1
-                out.append(codes[: 8 * max(length, 0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "n_shingles", "prefix"])
+                counts.append(len(codes) // 8)
+                out.append(codes[: 8 * max(counts[-1] - -(-percent * size // 100) + 1, 0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_shingles", "n_codes", "prefix"])
 
-    return found.select("doc_id", "n_shingles", "codes").mapInArrow(run, "doc_id long, n_shingles long, prefix binary")
+    return found.select("doc_id", "n_shingles", "codes").mapInArrow(run, "doc_id long, n_shingles long, n_codes long, prefix binary")
 
 
-def dealt(rows: DataFrame, codes: str, more: list[str], fragments: int) -> DataFrame:
-    """Documents' codes by fragment: per batch and fragment one row with ids, counts and codes; columns named in more go along (long, or lists of longs)."""
+def dealt(rows: DataFrame, codes: str, more: list[str], fragments: int, places: bool = False) -> DataFrame:
+    """Documents' codes by fragment: per batch and fragment one row with ids, counts, codes and their places in the document's order; columns named in more go along (long, or lists of longs)."""
 
     def run(batches):
         import numpy as np
@@ -236,6 +238,7 @@ def dealt(rows: DataFrame, codes: str, more: list[str], fragments: int) -> DataF
             where = np.repeat(np.arange(len(values)), sizes)
             part = ((flat >> np.uint64(CODE_BITS)) & np.uint64(0xFFFF)).astype(np.int64) % fragments
             order = np.argsort(part, kind="stable")
+            place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
             part, where, flat = part[order], where[order], flat[order]
             ends = np.flatnonzero(np.diff(part, append=-1)) + 1
             rows = []
@@ -245,37 +248,39 @@ def dealt(rows: DataFrame, codes: str, more: list[str], fragments: int) -> DataF
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema) as writer:
                     writer.write_table(own)
-                rows.append((int(part[a]), sink.getvalue().to_pybytes(), counts.astype("<i8").tobytes(), flat[a:b].astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["fragment", "docs", "counts", "codes"])
+                rows.append((int(part[a]), sink.getvalue().to_pybytes(), counts.astype("<i8").tobytes(), flat[a:b].astype("<u8").tobytes(), place[a:b].astype("<i4").tobytes() if places else b""))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 4))], ["fragment", "docs", "counts", "codes", "places"])
 
-    return rows.select("doc_id", *more, codes).mapInArrow(run, "fragment long, docs binary, counts binary, codes binary")
+    return rows.select("doc_id", *more, codes).mapInArrow(run, "fragment long, docs binary, counts binary, codes binary, places binary")
 
 
 def undealt(table):
-    """The documents (an Arrow table), counts and codes of one fragment."""
+    """The documents (an Arrow table), counts, codes and places of one fragment."""
     import numpy as np
     import pyarrow as pa
 
     docs = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("docs").to_pylist()])
     joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    return docs, joined("counts", "<i8"), joined("codes", "<u8")
+    return docs, joined("counts", "<i8"), joined("codes", "<u8"), joined("places", "<i4")
 
 
 def candidates(labelled: DataFrame, percent: int, fragments: int, turn: str) -> DataFrame:
-    """Pairs (a < b) of documents of different labels with a common prefix n-gram and sizes that allow a link.
+    """Pairs (a < b) of documents of different labels that may link, by a common prefix n-gram.
 
-    turn: "least" and "greatest" pair an n-gram's documents with its least or greatest one, "all" with each other.
+    turn: "best" pairs an n-gram's documents with the one that has most left to share, "other" with the best of
+    those that have another label than that one, "all" with each other.
     """
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        docs, counts, codes = undealt(table)
-        ids, sizes, labels = (docs.column(c).to_numpy() for c in ("doc_id", "n_shingles", "label"))
+        docs, counts, codes, places = undealt(table)
+        ids, sizes, kept, labels = (docs.column(c).to_numpy() for c in ("doc_id", "n_shingles", "n_codes", "label"))
         row = np.repeat(np.arange(len(ids)), counts)
-        order = np.lexsort((ids[row], codes))
-        codes, row = codes[order], row[order]
+        left = kept[row] - places
+        order = np.lexsort((ids[row], -left / sizes[row], codes))
+        codes, row, left = codes[order], row[order], left[order]
         starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
         lengths = np.diff(starts, append=len(codes))
         starts, lengths = starts[lengths > 1], lengths[lengths > 1]
@@ -283,24 +288,29 @@ def candidates(labelled: DataFrame, percent: int, fragments: int, turn: str) ->
 
         def add(x, y):
             nonlocal found
-            low, high = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-            good = (labels[x] != labels[y]) & (100 * low >= percent * high)
-            pairs = np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1)[good]
-            found = np.unique(np.concatenate([found, pairs]), axis=0)
-
-        if turn != "all":
-            within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            members = row[np.repeat(starts, lengths) + within]
-            lead = row[starts if turn == "least" else starts + lengths - 1]
-            add(members, np.repeat(lead, lengths))
+            both = sizes[row[x]] + sizes[row[y]]
+            good = (labels[row[x]] != labels[row[y]]) & ((100 + percent) * np.minimum(left[x], left[y]) >= percent * both)
+            a, b = ids[row[x[good]]], ids[row[y[good]]]
+            found = np.unique(np.concatenate([found, np.stack([np.minimum(a, b), np.maximum(a, b)], 1)]), axis=0)
+
+        members = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        if turn == "best":
+            add(members, np.repeat(starts, lengths))
+        elif turn == "other" and len(starts):
+            foreign = labels[row[members]] != labels[row[np.repeat(starts, lengths)]]
+            lead = np.minimum.reduceat(np.where(foreign, members, len(row)), np.cumsum(lengths) - lengths)
+            lead = np.repeat(lead, lengths)
+            some = lead < len(row)
+            add(members[some], lead[some])
         else:
             held, total = [], 0
             for a, k in zip(starts, lengths):
-                own = row[a : a + k]
-                if (labels[own] == labels[own[0]]).all():
+                own = np.arange(a, a + k)
+                if (labels[row[own]] == labels[row[a]]).all():
                     continue
-                for at in range(0, k, max(1, CHUNK // k)):
-                    x = own[at : at + max(1, CHUNK // k)]
+                step = max(1, CHUNK // k)
+                for at in range(0, k, step):
+                    x = own[at : at + step]
                     held.append((np.repeat(x, k), np.tile(own, len(x))))
                     total += len(x) * k
                     if total >= CHUNK:
@@ -310,7 +320,7 @@ def candidates(labelled: DataFrame, percent: int, fragments: int, turn: str) ->
                 add(*map(np.concatenate, zip(*held)))
         return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    pairs = dealt(labelled, "prefix", ["n_shingles", "label"], fragments).groupBy("fragment").applyInArrow(run, "a long, b long")
+    pairs = dealt(labelled, "prefix", ["n_shingles", "n_codes", "label"], fragments, places=True).groupBy("fragment").applyInArrow(run, "a long, b long")
     return pairs.distinct()
 
 
@@ -321,7 +331,7 @@ def overlaps(found: DataFrame, pairs: DataFrame, percent: int, fragments: int) -
         import numpy as np
         import pyarrow as pa
 
-        docs, counts, codes = undealt(table)
+        docs, counts, codes, _ = undealt(table)
         ids, sizes = (docs.column(c).to_numpy() for c in ("doc_id", "n_shingles"))
         row = np.repeat(np.arange(len(ids)), counts)
         rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
@@ -378,7 +388,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         labels = merge(labels, many)
     found = all_docs.where("codes is not null").select("doc_id", "n_shingles", "codes")
     prefix = materialize(prefixes(found, percent), "prefixes")
-    for turn in ("least", "greatest", "all"):
+    for turn in ("best", "other", "all"):
         pairs = materialize(candidates(prefix.join(labels, "doc_id"), percent, fragments, turn), "pairs")
         if pairs.isEmpty():
             continue
