@@ -111,8 +111,10 @@ def automaton(parts: list, width: int):
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-    root = np.array([edges[0].get(c, 0) for c in range(width)], np.int32) * width * 2 + 1
-    table = np.tile(root, (len(edges), 1))
+    dead = len(edges)  # where a letter that the sample lacks leads: a phrase of its own
+    root = np.array([edges[0].get(c, dead) for c in range(width)], np.int32) * width * 2
+    table = np.tile(root + 1, (len(edges) + 1, 1))
+    table[0] = root  # only the start of a block is here, and no phrase ends there
     for state, out in enumerate(edges):
         for c, to in out.items():
             table[state, c] = to * width * 2
