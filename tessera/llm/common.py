@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,13 +22,31 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Tables written since each scratch() that is open began.
+SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that materialize() writes inside, but those it was told to keep; nothing lazy inside may outlive it."""
+    SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in SCRATCH.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and readable after any executor is lost.
 
     Shuffle files of the plan that was written are no longer needed, so the JVM is asked to let go of them.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if SCRATCH and not keep:
+        SCRATCH[-1].append(path)
     schema = df.schema
     df.write.parquet(path)
     del df

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, raw, size_in_bytes, texts
+from tessera.llm.common import materialize, raw, scratch, size_in_bytes, texts
 from tessera.llm.components import merge
 
 #: Bytes of input per fragment, most fragments, most n-grams in a block, most comparisons at a time.
@@ -414,9 +414,10 @@ def counted(docs: DataFrame, n: int) -> DataFrame:
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its columns; rows without doc_id stay."""
-    joined = materialize(join(docs, n, percent), "components")
+    with scratch(docs.sparkSession):  # the text is shuffled next; what the join wrote needn't be there then
+        joined = materialize(join(docs, n, percent), "components", keep=True)
     first = joined.where("component_id = doc_id").select("doc_id").distinct()
-    stay = docs.join(first, "doc_id", "left_semi")
+    stay = docs.join(first.hint("merge"), "doc_id", "left_semi")  # one plan at every size
     if not joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id"])
     return stay.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))
