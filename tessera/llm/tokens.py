@@ -2,15 +2,23 @@
 
 A text is cut where the vocabulary's own pre-tokenizer must cut, so the ids of the chunks, joined, are the
 ids of the text: no merge crosses such a place, and nothing before or after it changes how a chunk is cut.
-Chunks seen before come from the cache; the rest go to the library in one batch.
+Chunks seen before come from the cache; the library works out the rest.
 """
 
 from __future__ import annotations
 
 import functools
+import re
+import struct
 
-#: Most chunks that a worker remembers; about 60 MB.
-CACHE = 300_000
+#: Most chunks, and most bare words, in each of a cache's two halves; about 200 MB in all.
+CHUNKS, CORES = 300_000, 400_000
+#: Letters of ASCII and of U+00C0 to U+00FF, then ASCII punctuation: such a chunk is one
+#: match of letters and one of punctuation for either kind of vocabulary, and composed already.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: Byte-level vocabularies write a byte that is no printable Latin-1 character as the next one from U+0100 on.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SPELLED = dict(zip((b for b in range(256) if b not in PRINTABLE), map(chr, range(0x100, 0x200))))
 
 
 @functools.cache
@@ -24,39 +32,97 @@ def loaded(path: str):
     return Tokenizer.from_file(path)
 
 
-class Cached:
-    """Ids of chunks as little-endian unsigned 32-bit bytes."""
+class Halves:
+    """A dictionary of bounded size: when the new half is full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known = loaded(path), {}
 
-    def learn(self, chunks) -> None:
-        import numpy as np
+class Cached:
+    """Ids of chunks as little-endian unsigned 32-bit bytes.
+
+    A plain chunk is one or two pre-tokens; the library's model is asked for each. Others go through the whole
+    tokenizer. lower: whether its normalizer puts letters in lower case. lead: what stands before every chunk
+    but the first of a text, and is not part of its key.
+    """
 
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if len(self.known) + len(missing) > CACHE:
-            self.known = {}
-            missing = list(dict.fromkeys(chunks))
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for chunk, got in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+    def __init__(self, path: str, lower: bool, lead: bytes):
+        self.tokenizer, self.lower, self.lead = loaded(path), lower, lead
+        self.chunks, self.cores = Halves(CHUNKS), Halves(CORES)
+
+    def core(self, word: bytes) -> tuple[bytes, bool]:
+        """Ids of one pre-token, and whether it was known."""
+        if self.lower:
+            word = word.decode().lower().encode()
+        ids = self.cores.get(word)
+        known = ids is not None
+        if not known:
+            bare = word.removeprefix(b" ")
+            spelled = (SPELLED[32] if len(bare) < len(word) else "") + bare.decode() if bare.isalpha() else word.decode("latin-1").translate(SPELLED)
+            ids = packed_ids([t.id for t in self.tokenizer.model.tokenize(spelled)])
+            self.cores.put(word, ids)
+        return ids, known
+
+    def learn(self, chunks) -> dict[bytes, bytes]:
+        """Ids of chunks that the new half lacks."""
+        made, rest = {}, []
+        for chunk in dict.fromkeys(chunks):
+            ids = self.chunks.get(chunk)
+            if ids is None and (plain := PLAIN.fullmatch(chunk)):
+                ids, known = self.core(self.lead + plain[1])
+                ids += self.core(plain[2])[0] if plain[2] else b""
+                if known:  # most words are seen once; only others are worth a place of their own
+                    self.chunks.put(chunk, ids)
+            if ids is None and self.lead and b"\n" in chunk and all(lines := [PLAIN.fullmatch(x) for x in chunk.split(b"\n")]):
+                ids = b""  # one line end between plain pieces is a pre-token of its own
+                for lead, x in zip((self.lead, *[b"\n"] * (len(lines) - 1)), lines):
+                    ids += self.core(b"\n")[0] + self.core(x[1])[0] if lead == b"\n" else self.core(lead + x[1])[0]
+                    ids += self.core(x[2])[0] if x[2] else b""
+            if ids is None:
+                rest.append(chunk)
+            else:
+                made[chunk] = ids
+        for chunk, got in zip(rest, self.tokenizer.encode_batch_fast([(self.lead + c).decode() for c in rest], add_special_tokens=False) if rest else ()):
+            made[chunk] = packed_ids(got.ids)
+            self.chunks.put(chunk, made[chunk])
+        return made
 
     def joined(self, chunks: list[bytes]) -> bytes:
-        found = list(map(self.known.get, chunks))
+        found = list(map(self.chunks.new.get, chunks))
         if None in found:
-            self.learn(chunks)
-            found = map(self.known.__getitem__, chunks)
+            made = self.learn(c for c, ids in zip(chunks, found) if ids is None)
+            found = [made[c] if ids is None else ids for c, ids in zip(chunks, found)]
         return b"".join(found)
 
 
+    def first(self, chunk: bytes) -> bytes:
+        """Ids of a chunk without what leads others."""
+        return packed_ids(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids) if chunk else b""
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @functools.cache
 def word_encoder(path: str):
     """texts (bytes or None) -> ids of each, for a vocabulary whose normalizer and pre-tokenizer drop white space.
 
     Chunks: what stands between ASCII white space.
     """
-    cache = Cached(path)
+    cache = Cached(path, lower=True, lead=b"")
 
     def encode(rows):
         for row in rows:
@@ -65,35 +131,36 @@ def word_encoder(path: str):
     return encode
 
 
+#: A space next to anything but a visible ASCII character or a letter from U+00C0 to U+00FF.
+UNCLEAR = re.compile(rb" (?:(?![\x21-\x7e\xc3])|(?<![\x21-\x7e] )(?<!\xc3[\x80-\xbf] ))")
+
+
 def byte_chunks(text: bytes) -> list[bytes]:
-    """Chunks of a text for a byte-level pre-tokenizer that puts one space before a word.
+    """Chunks of a text for a byte-level pre-tokenizer that puts one space before a word; all but the first lack that space.
 
     A cut before a single space with no white space on either side is always a cut of the pre-tokenizer:
-    its matches end there, and each match is found from where the last one ended. White space is taken
-    in the widest sense, so a chunk may be longer than need be but never cut wrongly.
+    its matches end there, and each match is found from where the last one ended. Where it is not clear that
+    a neighbour is no white space, nothing is cut, so a chunk may be longer than need be but never cut wrongly.
     """
-    out: list[bytes] = []
-    for part in text.split(b" "):
-        if out and out[-1] and part and (part[0] in INK or part[0] == LATIN) and (out[-1][-1] in INK or out[-1][-2:-1] == b"\xc3"):
-            out.append(b" " + part)
-        elif out:
-            out[-1] += b" " + part  # white space on a side, or a letter that INK doesn't know
-        else:
-            out.append(part)
-    return [x for x in out if x]
-
-
-#: Bytes that are ASCII letters, digits or punctuation, and the lead byte of U+00C0 to U+00FF: surely no part of white space.
-INK, LATIN = frozenset(range(0x21, 0x7F)), 0xC3
+    if not UNCLEAR.search(text):
+        return text.split(b" ")
+    out, at = [], 0
+    unclear = {m.start() for m in UNCLEAR.finditer(text)}
+    for m in re.finditer(rb" ", text):
+        if m.start() not in unclear and m.start():
+            out.append(text[at : m.start()])
+            at = m.end()
+    return [*out, text[at:]]
 
 
 @functools.cache
 def byte_encoder(path: str):
     """texts (bytes or None) -> ids of each, for a byte-level vocabulary without normalizer that cuts as byte_chunks says."""
-    cache = Cached(path)
+    cache = Cached(path, lower=False, lead=b" ")
 
     def encode(rows):
         for row in rows:
-            yield cache.joined(byte_chunks(row or b""))
+            chunks = byte_chunks(row or b"")
+            yield cache.first(chunks[0]) + cache.joined(chunks[1:])
 
     return encode
