@@ -42,14 +42,19 @@ def words_of(text: bytes | None) -> set[bytes]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text, domain (number) of about `most` labelled documents of each domain, the same whenever it is run; at most 3 x most ids are broadcast."""
+    """doc_id, text, domain (number), weight of about `most` labelled documents of each domain, the same whenever it is run; at most 3 x most ids are broadcast.
+
+    weight: how many labels of the domain a sampled one stands for, so that weighted counts keep the balance of the domains.
+    """
     domain = F.coalesce(*(F.when(F.expr(rule), k) for k, rule in enumerate(DOMAINS.values())))
     marks = labels.select(F.col("doc_id").cast("long").alias("label_id"), domain.alias("domain")).where("label_id is not null and domain is not null")
     marks = marks.groupBy("label_id").agg(F.max("domain").alias("domain"))
     sizes = {r["domain"]: r["count"] for r in marks.groupBy("domain").count().collect()}
     share = F.coalesce(*(F.when(F.col("domain") == k, min(1.0, most / n)) for k, n in sizes.items()), F.lit(0.0))
     chosen = marks.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return materialize(texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "domain"), "mixing-sample")
+    taken = {r["domain"]: r["count"] for r in chosen.groupBy("domain").count().collect()}
+    weight = F.coalesce(*(F.when(F.col("domain") == k, sizes[k] / n) for k, n in taken.items()), F.lit(1.0))
+    return materialize(texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "domain", weight.alias("weight")), "mixing-sample")
 
 
 def telling_words(sampled: DataFrame, sizes: dict[int, int], most: int) -> list[bytes]:
@@ -92,20 +97,23 @@ def features(rows: list, words: dict[bytes, int]):
     return np.concatenate([textstats.ratios(counted), present], 1), np.asarray(counted[0], np.int64)
 
 
-def fit_softmax(x, y, classes: list[int], rounds: int = 300, ridge: float = 1e-4):
-    """Weights (features + 1, classes) of a softmax regression."""
+def fit_softmax(x, y, classes: list[int], weight, rounds: int = 300, ridge: float = 1e-4):
+    """Weights (features + 1, classes) of a softmax regression over rows that count by their weight; no ridge on the intercepts, so mean posteriors are the weighted shares."""
     import numpy as np
 
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     target = (y[:, None] == np.array(classes)[None, :]).astype(float)
     w = np.zeros((x.shape[1], len(classes)))
-    step = 4.0 / max(np.linalg.eigvalsh(x.T @ x / len(x))[-1], 1e-9) / 2
+    heavy = x * (weight / weight.sum())[:, None]
+    step = 4.0 / max(np.linalg.eigvalsh(x.T @ heavy)[-1], 1e-9) / 2
+    held = np.full((x.shape[1], 1), ridge)
+    held[-1] = 0.0
     ahead, t = w.copy(), 1.0
     for _ in range(rounds):
         z = x @ ahead
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        new = ahead - step * (x.T @ (p - target) / len(x) + ridge * ahead)
+        new = ahead - step * (heavy.T @ (p - target) + held * ahead)
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         ahead, w = new + (before - 1) / t * (new - w), new
     return w
@@ -126,13 +134,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, words: int = WOR
 
         for batch in batches:
             x, _ = features(raw(batch.column(1)), known)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x.astype("<f4")), pa.list_(pa.float32()))], ["doc_id", "domain", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(list(x.astype("<f4")), pa.list_(pa.float32()))], ["doc_id", "domain", "weight", "x"])
 
-    table = sampled.mapInArrow(run, "doc_id long, domain int, x array<float>").toArrow().sort_by("doc_id")
+    table = sampled.mapInArrow(run, "doc_id long, domain int, weight double, x array<float>").toArrow().sort_by("doc_id")
     x = np.array(table.column("x").to_pylist(), np.float64)
-    y = table.column("domain").to_numpy()
+    y, weight = table.column("domain").to_numpy(), table.column("weight").to_numpy()
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
-    return {"classes": sorted(sizes), "words": known, "mean": mean, "spread": spread, "weights": fit_softmax((x - mean) / spread, y, sorted(sizes))}
+    return {"classes": sorted(sizes), "words": known, "mean": mean, "spread": spread, "weights": fit_softmax((x - mean) / spread, y, sorted(sizes), weight)}
 
 
 def posteriors(docs: DataFrame, model: dict) -> DataFrame:

@@ -218,3 +218,15 @@ def test_mixing_meets_targets(spark, odd_docs, odd_labels, no_docs, no_labels):
     assert mixed.columns == docs.columns and abs(mixed.count() - out.rate.sum()) < 4 * len(out) ** 0.5
     assert mixing.rates(odd_docs, odd_labels).count() == 17 and mixing.rates(odd_docs, no_labels).count() == 17
     assert mixing.rates(no_docs, no_labels).count() == 0 and mixing.mix(odd_docs, odd_labels).columns == odd_docs.columns
+
+
+def test_mixing_keeps_the_balance_of_the_labels(spark):
+    """Domains that overlap, and more labels than are sampled: mean posteriors are the shares of the labels, not of the sample."""
+    dice, rows, labels = random.Random(12), [], []
+    for n in range(2000):
+        toxic = n % 10 == 0
+        rows.append((n, prose(dice, 60) + (" vile" if dice.random() < (0.6 if toxic else 0.2) else "")))
+        labels.append((n, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = mixing.posteriors(docs, mixing.fit(docs, labels, most=200, words=1)).toPandas()
+    assert abs(got.m_toxic.mean() - 0.1) < 0.03 and abs(got.m_clean.mean() - 0.9) < 0.03
