@@ -22,6 +22,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from tessera.llm.common import materialize, packed, text_of, texts
 
 SALTS = 16
+KEY_NAME = r"[A-Z ]{0,30}PRIVATE KEY"
+#: A key's body: up to the END line of the same name; else (a key cut short) header fields and runs of base64 as far as they go.
+KEY_BODY = rf"""-----BEGIN ({KEY_NAME})-----(?:((?:[^-]|-(?!----))*+)-----END \1-----|((?:\s*+[A-Z][A-Za-z]*+-[A-Za-z]++:[^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++))?"""
 #: Fixed patterns of the base kinds, in their order: kind, pattern, the group that must be long enough, its least length.
 BASE = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE, 2, 12),
@@ -33,7 +36,7 @@ MORE = (
     ("vendor", r"(?:gh[pousr]_|sk_live_|xox[abprs]-|glpat-)[A-Za-z0-9_-]+", 0, 0, 20),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0, 30),
     ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{1,128}@", 0, 0, 12),
-    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0, 20),
+    ("pem", KEY_BODY, 0, 0, 20),
     ("mixed", r"[A-Za-z0-9+/_-]{24,}", 0, 0, 24),
 )
 KINDS = tuple(k for k, *_ in (*BASE, *MORE))
@@ -41,8 +44,16 @@ CLASSES = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 COMPILED = tuple((k, re.compile(p, flags | re.ASCII), group, least) for k, p, flags, group, least in (*BASE, *MORE))
 
 
+def key_of(m: re.Match) -> str:
+    """What tells one key from another: its body, without line ends, quotes and indents; the header where there is no body."""
+    return re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m.group(2) or m.group(3) or "") or m.group(0)
+
+
 def matches(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, kind number, secret value) of all candidates in a text, by start, then kind; further ones that touch a base one are left out."""
+    """(start, end, kind number, secret value) of all candidates in a text, by start, then kind; further ones that touch a base one are left out.
+
+    A key block may hold other candidates (a salt in hex, say); those before it in KINDS stay beside it.
+    """
     out, taken = [], []
     for k, (name, pattern, group, least) in enumerate(COMPILED):
         for m in pattern.finditer(text):
@@ -50,9 +61,10 @@ def matches(text: str) -> list[tuple[int, int, int, str]]:
             if len(value) < least or name == "mixed" and not all(c.search(value) for c in CLASSES):
                 continue
             span = m.span()
-            if k >= len(BASE) and any(a < span[1] and span[0] < b for a, b in taken):
+            whole = name == "pem"
+            if k >= len(BASE) and any(a < span[1] and span[0] < b and not (whole and span[0] <= a and b <= span[1]) for a, b in taken):
                 continue
-            out.append((*span, k, value))
+            out.append((*span, k, key_of(m) if whole else value))
             taken.append(span)
     return sorted(out)
 

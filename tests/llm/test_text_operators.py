@@ -230,3 +230,24 @@ def test_mixing_keeps_the_balance_of_the_labels(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = mixing.posteriors(docs, mixing.fit(docs, labels, most=200, words=1)).toPandas()
     assert abs(got.m_toxic.mean() - 0.1) < 0.03 and abs(got.m_clean.mean() - 0.9) < 0.03
+
+
+def test_each_private_key_counts_by_its_body(spark):
+    """Different keys of one type in many sources are all live; the same one in many is an example; keys are redacted whole."""
+    dice = random.Random(13)
+    lines = lambda n: ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(64)) for _ in range(n)]
+    block = lambda body, end="\n": "-----BEGIN RSA PRIVATE KEY-----" + end + end.join(body) + end + "-----END RSA PRIVATE KEY-----"
+    same, cut = lines(3), lines(3)
+    salted = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0123456789abcdef" * 2, "", *lines(2)]
+    bare = "-----BEGIN RSA PRIVATE KEY-----"
+    rows = [(k, f"a {block(lines(3))} b", f"r{k}") for k in range(5)]
+    rows += [(10 + k, f"a {block(same, (chr(10), chr(13) + chr(10), chr(92) + 'n')[k % 3])} b", f"r{k}") for k in range(5)]
+    rows += [(20, f"a {block(salted)} b", "r0"), (21, "a " + bare + "\n" + "\n".join(cut), "r1"), *((30 + k, f"starts with {bare} always", f"r{k}") for k in range(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts, spans = {r[0]: r[1] for r in rows}, {r["doc_id"]: r["spans"] for r in secrets_scan.find(docs).collect()}
+    redacted = {r["doc_id"]: r["text"] for r in secrets_scan.redact(docs).collect()}
+    for k in range(5):
+        assert spans[k] == f"pem:2:{len(texts[k]) - 2}" and redacted[k] == "a [pem] b"
+        assert spans[10 + k] == spans[30 + k] == "" and redacted[10 + k] == texts[10 + k]
+    assert spans[20].startswith(f"pem:2:{len(texts[20]) - 2},hex:") and redacted[20] == "a [pem] b"
+    assert redacted[21] == "a [pem]"
