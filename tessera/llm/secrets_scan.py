@@ -35,7 +35,7 @@ BASE = (
 MORE = (
     ("vendor", r"(?:gh[pousr]_|sk_live_|xox[abprs]-|glpat-)[A-Za-z0-9_-]+", 0, 0, 20),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0, 30),
-    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{1,128}@", 0, 0, 12),
+    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/@]++@", 0, 0, 12),
     ("pem", KEY_BODY, 0, 0, 20),
     ("mixed", r"[A-Za-z0-9+/_-]{24,}", 0, 0, 24),
 )

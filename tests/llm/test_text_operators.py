@@ -251,3 +251,9 @@ def test_each_private_key_counts_by_its_body(spark):
         assert spans[10 + k] == spans[30 + k] == "" and redacted[10 + k] == texts[10 + k]
     assert spans[20].startswith(f"pem:2:{len(texts[20]) - 2},hex:") and redacted[20] == "a [pem] b"
     assert redacted[21] == "a [pem]"
+
+
+def test_long_credentials_in_urls_are_found():
+    for user, password in (("u" * 65, "p" * 10), ("user", "p.!" * 60), ("u" * 300, "p,:" * 400)):
+        text = f"see https://{user}:{password}@host/x"
+        assert secrets_scan.joined(secrets_scan.matches(text)) == f"url:4:{text.index('@') + 1}"
