@@ -13,7 +13,8 @@ A token is a word, [^\\x20\\x09-\\x0D]+.
 
 Defined cases: null text counts as empty; labels without a known domain are left out; a domain without
 labels has posterior 0, and without labels at all every posterior is equal; targets that no rates can
-reach are approached in the least-squares sense; every input row gives one output row.
+reach are approached in the least-squares sense; a domain that would need more than REPEATS copies of what
+tells it from the others stays that far below its target; every input row gives one output row.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ DOMAINS = {"clean": "quality = 1 and coalesce(toxic, 0) = 0", "toxic": "toxic =
 TARGETS = {"clean": 0.985, "toxic": 0.005, "low": 0.01}
 #: Most labelled rows of a domain that the classifier is fitted on, most words per domain that it looks for, most steps of the fit.
 SAMPLE, WORDS, STEPS = 3000, 48, 30
+#: Most times that the tokens of a domain may be repeated to reach its target.
+REPEATS = 16
 EDGE = b".,;:!?\"'()[]"
 
 
@@ -179,10 +182,19 @@ def rate(steps: list[list[float]]) -> F.Column:
     return F.aggregate(taken, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - dot(v)))
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], most: int = STEPS, exact: float = 1e-7) -> list[list[float]]:
+def apart(gram, k: int) -> float:
+    """What domain k's expected tokens gain, those of the others held, per unit of its multiplier; 0 if no document tells it from the others."""
+    import numpy as np
+
+    rest = [j for j in range(len(gram)) if j != k]
+    return max(0.0, float(gram[k, k] - gram[k, rest] @ np.linalg.pinv(gram[np.ix_(rest, rest)], rcond=1e-10, hermitian=True) @ gram[rest, k]))
+
+
+def fit_rates(table: DataFrame, targets: dict[str, float], most: int = STEPS, exact: float = 1e-7, repeats: float = REPEATS) -> list[list[float]]:
     """The steps of the fit over a table of m_tokens and posteriors.
 
-    The mix is as large as the corpus allows while no domain needs more tokens than it has.
+    The mix is as large as the tokens of its main domain (of those with tokens, the one with the highest target) allow
+    without repeating them. Domains that have less than their target then ask are repeated, at most `repeats` times.
     """
     import numpy as np
 
@@ -200,7 +212,9 @@ def fit_rates(table: DataFrame, targets: dict[str, float], most: int = STEPS, ex
     have, gram = sums([])
     share = np.array([targets[d] for d in DOMAINS])
     share = share / share.sum()
-    wanted = share * min((h / s for h, s in zip(have, share) if s > 0 and h > 0), default=0.0)
+    main = max((j for j in range(k) if share[j] > 0 and have[j] > 0), key=lambda j: share[j], default=None)
+    wanted = share * (have[main] / share[main] if main is not None else 0.0)
+    wanted = np.array([min(w, h + (repeats - 1) * apart(gram, j)) if w > h else w for j, (w, h) in enumerate(zip(wanted, have))])
     steps: list[list[float]] = []
     best = (np.abs(have - wanted).max(), 0)
     while len(steps) < most and best[0] > exact * max(wanted.sum(), 1.0):

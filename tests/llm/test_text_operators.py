@@ -257,3 +257,19 @@ def test_long_credentials_in_urls_are_found():
     for user, password in (("u" * 65, "p" * 10), ("user", "p.!" * 60), ("u" * 300, "p,:" * 400)):
         text = f"see https://{user}:{password}@host/x"
         assert secrets_scan.joined(secrets_scan.matches(text)) == f"url:4:{text.index('@') + 1}"
+
+
+def test_scarce_domains_do_not_shrink_the_mix(spark):
+    """1000 clean documents stay whole: a target above what a domain has is reached by copies, or left where no document tells the domain."""
+    row = lambda clean, toxic, low: (100, float(clean), float(toxic), float(low))
+    kinds = "m_tokens long, m_clean double, m_toxic double, m_low double"
+
+    def got(rows):
+        table = spark.createDataFrame(rows, kinds).coalesce(1)
+        out = table.withColumn("r", mixing.rate(mixing.fit_rates(table, mixing.TARGETS))).toPandas()
+        return out, [(out.r * out.m_tokens * out[f"m_{d}"]).sum() for d in mixing.DOMAINS]
+
+    out, sums = got([row(1, 0, 0)] * 1000 + [row(0, 1, 0)] + [row(0, 0, 1)] * 2)
+    assert np.allclose(np.array(sums) / sum(sums), [mixing.TARGETS[d] for d in mixing.DOMAINS], atol=1e-5) and np.allclose(out.r[:1000], 1, atol=1e-5)
+    out, sums = got([row(0.999 - 1e-5 * (n % 7), 5e-4 + 1e-5 * (n % 7), 5e-4) for n in range(1000)])
+    assert out.r.between(0.9, 1.1).all() and abs(sum(sums) / 100_000 - 1) < 0.01
