@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, raw, texts
+from tessera.llm.common import materialize, texts
 
 OPEN_BINS = 256
 GROUP = 8
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, open_bin
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "used", "part"])
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(raw(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]

@@ -106,7 +106,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(raw(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1))):
                 ids += end
                 names.append(doc_id)
                 parts.append(ids)

@@ -2,20 +2,22 @@
 
 A text is cut where the vocabulary's own pre-tokenizer must cut, so the ids of the chunks, joined, are the
 ids of the text: no merge crosses such a place, and nothing before or after it changes how a chunk is cut.
-Chunks seen before come from the cache; the library works out the rest.
+Words seen before come from the cache; the library works out the rest.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import string
 import struct
 
-#: Most chunks, and most bare words, in each of a cache's two halves; about 200 MB in all.
-CHUNKS, CORES = 300_000, 400_000
+#: Most odd chunks, and most bare words, in each of a cache's two halves (about 200 MB in all); bytes of text that are worked on together.
+CHUNKS, CORES, BATCH = 100_000, 500_000, 12 << 20
 #: Letters of ASCII and of U+00C0 to U+00FF, then ASCII punctuation: such a chunk is one
 #: match of letters and one of punctuation for either kind of vocabulary, and composed already.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+LETTERS = r"\A[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+\z"
 #: Byte-level vocabularies write a byte that is no printable Latin-1 character as the next one from U+0100 on.
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 SPELLED = dict(zip((b for b in range(256) if b not in PRINTABLE), map(chr, range(0x100, 0x200))))
@@ -51,66 +53,132 @@ class Halves:
 
 
 class Cached:
-    """Ids of chunks as little-endian unsigned 32-bit bytes.
+    """Ids of texts that are given as lists of chunks.
 
-    A plain chunk is one or two pre-tokens; the library's model is asked for each. Others go through the whole
-    tokenizer. lower: whether its normalizer puts letters in lower case. lead: what stands before every chunk
-    but the first of a text, and is not part of its key.
+    A plain chunk is letters and then punctuation: one or two pre-tokens, for each of which the library's model
+    is asked. Others go through the whole tokenizer. A batch of texts is worked on by its distinct chunks; what
+    is done for each occurrence is one gather. lower: whether the tokenizer's normalizer puts letters in lower
+    case. lead: what stands before every chunk but the first of a text, and is not part of it.
     """
 
     def __init__(self, path: str, lower: bool, lead: bytes):
         self.tokenizer, self.lower, self.lead = loaded(path), lower, lead
         self.chunks, self.cores = Halves(CHUNKS), Halves(CORES)
 
-    def core(self, word: bytes) -> tuple[bytes, bool]:
-        """Ids of one pre-token, and whether it was known."""
-        if self.lower:
-            word = word.decode().lower().encode()
+    def core(self, word: bytes) -> bytes:
+        """Ids of one pre-token."""
         ids = self.cores.get(word)
-        known = ids is not None
-        if not known:
+        if ids is None:
             bare = word.removeprefix(b" ")
             spelled = (SPELLED[32] if len(bare) < len(word) else "") + bare.decode() if bare.isalpha() else word.decode("latin-1").translate(SPELLED)
             ids = packed_ids([t.id for t in self.tokenizer.model.tokenize(spelled)])
             self.cores.put(word, ids)
-        return ids, known
+        return ids
 
-    def learn(self, chunks) -> dict[bytes, bytes]:
-        """Ids of chunks that the new half lacks."""
-        made, rest = {}, []
-        for chunk in dict.fromkeys(chunks):
+    def plain(self, m: re.Match, lead: bytes) -> bytes:
+        word = m[1].decode().lower().encode() if self.lower else m[1]
+        return self.core(lead + word) + (self.core(m[2]) if m[2] else b"")
+
+    def others(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks that are not plain."""
+        made, rest = [], []
+        for chunk in chunks:
             ids = self.chunks.get(chunk)
-            if ids is None and (plain := PLAIN.fullmatch(chunk)):
-                ids, known = self.core(self.lead + plain[1])
-                ids += self.core(plain[2])[0] if plain[2] else b""
-                if known:  # most words are seen once; only others are worth a place of their own
-                    self.chunks.put(chunk, ids)
             if ids is None and self.lead and b"\n" in chunk and all(lines := [PLAIN.fullmatch(x) for x in chunk.split(b"\n")]):
-                ids = b""  # one line end between plain pieces is a pre-token of its own
-                for lead, x in zip((self.lead, *[b"\n"] * (len(lines) - 1)), lines):
-                    ids += self.core(b"\n")[0] + self.core(x[1])[0] if lead == b"\n" else self.core(lead + x[1])[0]
-                    ids += self.core(x[2])[0] if x[2] else b""
+                # one line end between plain pieces is a pre-token of its own
+                ids = self.core(b"\n").join(self.plain(x, b"" if k else self.lead) for k, x in enumerate(lines))
             if ids is None:
-                rest.append(chunk)
-            else:
-                made[chunk] = ids
-        for chunk, got in zip(rest, self.tokenizer.encode_batch_fast([(self.lead + c).decode() for c in rest], add_special_tokens=False) if rest else ()):
-            made[chunk] = packed_ids(got.ids)
-            self.chunks.put(chunk, made[chunk])
+                rest.append(len(made))
+            made.append(ids)
+        for k, got in zip(rest, self.tokenizer.encode_batch_fast([(self.lead + chunks[k]).decode() for k in rest], add_special_tokens=False) if rest else ()):
+            made[k] = packed_ids(got.ids)
+            self.chunks.put(chunks[k], made[k])
         return made
 
-    def joined(self, chunks: list[bytes]) -> bytes:
-        found = list(map(self.chunks.new.get, chunks))
-        if None in found:
-            made = self.learn(c for c, ids in zip(chunks, found) if ids is None)
-            found = [made[c] if ids is None else ids for c, ids in zip(chunks, found)]
-        return b"".join(found)
-
-
     def first(self, chunk: bytes) -> bytes:
         """Ids of a chunk without what leads others."""
+        if m := PLAIN.fullmatch(chunk):
+            return self.plain(m, b"")
         return packed_ids(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids) if chunk else b""
 
+    def distinct(self, words):
+        """Ids of an Arrow array of distinct chunks, one after the other, and how many each has."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        bare = pc.ascii_rtrim(words, characters=string.punctuation)
+        plain = pc.match_substring_regex(bare, LETTERS).to_numpy(zero_copy_only=False)
+        tail = (pc.binary_length(words).to_numpy() - pc.binary_length(bare).to_numpy()) * plain
+        bare = bare.filter(pa.array(plain))
+        named = (pc.utf8_lower(bare) if self.lower else bare).dictionary_encode()
+        cores = [self.lead + x for x in named.dictionary.cast(pa.large_binary()).to_pylist()]
+        found = list(map(self.cores.new.get, cores))
+        if None in found:
+            found = [self.core(c) if ids is None else ids for c, ids in zip(cores, found)]
+        ends: dict[bytes, int] = {b"": 0}
+        texts = words.filter(pa.array(tail > 0)).cast(pa.large_binary()).to_pylist()
+        marks = [ends.setdefault(x[-k:], len(ends)) for x, k in zip(texts, tail[tail > 0].tolist())]
+        others = self.others(words.filter(pa.array(~plain)).cast(pa.large_binary()).to_pylist())
+        pieces = [*(self.core(x) if x else b"" for x in ends), *found, *others]  # ends of words, cores, whole chunks
+        picks = np.zeros((len(words), 2), np.int64)
+        picks[plain, 0] = len(ends) + named.indices.to_numpy()
+        picks[tail > 0, 1] = marks
+        picks[~plain, 0] = len(ends) + len(found) + np.arange(len(others))
+        flat, sizes = gathered(*table(pieces), picks.ravel())
+        return flat, sizes.reshape(-1, 2).sum(1)
+
+    def batch(self, lists) -> tuple:
+        """Ids of all texts of an Arrow array of lists of chunks, and where each text's end."""
+        import numpy as np
+        import pyarrow as pa
+
+        chunks, offsets = lists.flatten(), lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        coded = chunks.dictionary_encode()
+        flat, sizes = self.distinct(coded.dictionary)
+        picks = coded.indices.to_numpy().astype(np.int64)
+        if self.lead:
+            heads = offsets[:-1][offsets[1:] > offsets[:-1]]
+            more, lengths = table(list(map(self.first, chunks.take(pa.array(heads)).cast(pa.large_binary()).to_pylist())))
+            picks[heads] = len(sizes) + np.arange(len(heads))
+            flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, lengths])
+        flat, sizes = gathered(flat, sizes, picks)
+        return flat, np.concatenate([[0], np.cumsum(sizes)])[offsets]
+
+
+def table(pieces: list[bytes]) -> tuple:
+    """Ids of all pieces, one after the other, and how many each has."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(pieces), "<u4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+
+
+def gathered(flat, sizes, picks) -> tuple:
+    """The same for the picked pieces of a table."""
+    import numpy as np
+
+    n = sizes[picks]
+    ends = np.cumsum(n)
+    spot = np.repeat((np.cumsum(sizes) - sizes)[picks] - ends + n, n)
+    spot += np.arange(len(spot))
+    return flat[spot], n
+
+
+def parts(rows):
+    """Slices of an Arrow array (or of an iterable) of texts as large strings, null as empty, of about BATCH bytes, or of one text that is longer."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = rows if isinstance(rows, pa.Array) else pa.array(list(rows), pa.large_binary())
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    turn = np.cumsum(pc.binary_length(column).to_numpy()) // BATCH
+    cuts = np.flatnonzero(np.diff(turn)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(column)]):
+        if b > a:
+            yield column.slice(a, b - a)
+
 
 def packed_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -118,15 +186,18 @@ def packed_ids(ids: list[int]) -> bytes:
 
 @functools.cache
 def word_encoder(path: str):
-    """texts (bytes or None) -> ids of each, for a vocabulary whose normalizer and pre-tokenizer drop white space.
+    """texts (Arrow array, or bytes or None each) -> ids of each as little-endian unsigned 32-bit bytes, for a vocabulary whose normalizer and pre-tokenizer drop white space.
 
     Chunks: what stands between ASCII white space.
     """
     cache = Cached(path, lower=True, lead=b"")
 
     def encode(rows):
-        for row in rows:
-            yield cache.joined((row or b"").split())
+        import pyarrow.compute as pc
+
+        for texts in parts(rows):
+            flat, ends = cache.batch(pc.ascii_split_whitespace(texts))
+            yield from (flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:]))
 
     return encode
 
@@ -142,10 +213,8 @@ def byte_chunks(text: bytes) -> list[bytes]:
     its matches end there, and each match is found from where the last one ended. Where it is not clear that
     a neighbour is no white space, nothing is cut, so a chunk may be longer than need be but never cut wrongly.
     """
-    if not UNCLEAR.search(text):
-        return text.split(b" ")
-    out, at = [], 0
     unclear = {m.start() for m in UNCLEAR.finditer(text)}
+    out, at = [], 0
     for m in re.finditer(rb" ", text):
         if m.start() not in unclear and m.start():
             out.append(text[at : m.start()])
@@ -155,12 +224,19 @@ def byte_chunks(text: bytes) -> list[bytes]:
 
 @functools.cache
 def byte_encoder(path: str):
-    """texts (bytes or None) -> ids of each, for a byte-level vocabulary without normalizer that cuts as byte_chunks says."""
+    """The same for a byte-level vocabulary without normalizer that cuts as byte_chunks says. Texts without unclear spaces are cut by Arrow at all of them."""
     cache = Cached(path, lower=False, lead=b" ")
 
     def encode(rows):
-        for row in rows:
-            chunks = byte_chunks(row or b"")
-            yield cache.first(chunks[0]) + cache.joined(chunks[1:])
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for texts in parts(rows):
+            whole = texts.cast(pa.large_binary()).to_pylist()
+            hard = [k for k, text in enumerate(whole) if UNCLEAR.search(text)]
+            mask = pa.array([True] * len(whole)) if not hard else pc.invert(pc.is_in(pa.array(range(len(whole))), pa.array(hard)))
+            made = [(x[a:b] for x, ends in [cache.batch(lists)] for a, b in zip(ends[:-1], ends[1:])) for lists in (pc.split_pattern(texts.filter(mask), " "), pa.array([byte_chunks(whole[k]) for k in hard], pa.large_list(pa.large_binary())).cast(pa.large_list(pa.large_string())))]
+            rest = set(hard)
+            yield from (next(made[k in rest]).tobytes() for k in range(len(whole)))
 
     return encode
