@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -14,44 +15,63 @@ FOLDS = 5
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a temporary one, and any other an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-work-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-work-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
-#: Tables written since each scratch() that is open began.
-SCRATCH: list[list[str]] = []
+#: For each scratch() that is open here, outermost first, the tables written in it.
+SCRATCH: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
+#: Shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Deletes the tables that materialize() writes inside, but those it was told to keep; nothing lazy inside may outlive it."""
-    SCRATCH.append([])
+    """Deletes the tables that materialize() writes inside, but those it was told to keep; nothing lazy inside may outlive it.
+
+    A kept table belongs to the scratch() around this one, and without one to the caller.
+    """
+    mark = SCRATCH.set((*SCRATCH.get(), []))
     try:
         yield
     finally:
-        for path in SCRATCH.pop():
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        *_, own = SCRATCH.get()
+        SCRATCH.reset(mark)
+        for path in own:
+            delete(spark, path)
 
 
-def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and readable after any executor is lost.
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
-    Shuffle files of the plan that was written are no longer needed, so the JVM is asked to let go of them.
-    """
-    spark = df.sparkSession
+
+def place_for(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new path in the shared folder; what is written there goes with the scratch() that it belongs to."""
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if SCRATCH and not keep:
-        SCRATCH[-1].append(path)
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    owners = SCRATCH.get()[: -1 if keep else None]
+    if owners:
+        owners[-1].append(path)
+    return path
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and readable after any executor is lost."""
+    spark = df.sparkSession
+    path, before = place_for(spark, label, keep), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

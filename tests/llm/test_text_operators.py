@@ -128,10 +128,32 @@ def test_best_fit_takes_the_fullest_bin_and_closes_the_fullest():
 def test_codes_round_trip_and_random_access():
     dice = np.random.default_rng(4)
     for ids in ([], [0], [255, 256, 65535, 65536, 2**32 - 1], dice.integers(0, 50257, 5000).tolist()):
-        levels = token_files.encode(ids)
-        assert token_files.decode(levels).tolist() == ids
+        sizes, codes = token_files.encode(ids)
+        assert token_files.decode(sizes, codes).tolist() == ids and len(codes) == token_files.places(sizes)[-1][0]
         for k in range(0, len(ids), 7):
-            assert token_files.token_at(levels, k) == ids[k]
+            assert token_files.token_at(sizes, lambda at, n: codes[at : at + n], k) == ids[k]
+
+
+def test_single_tokens_of_written_files(spark, tmp_path, monkeypatch):
+    """A token takes a few bytes of its file; no segment is decoded."""
+    from tokenizers import Tokenizer
+
+    plain, dice = Tokenizer.from_file(BYTES), random.Random(14)
+    monkeypatch.setattr(token_files, "SEGMENT", 3000)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 1 << 15)
+    rows = [(n, prose(dice, 300)) for n in range(60)]
+    path = str(tmp_path / "tokens")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, BYTES, 0)
+    monkeypatch.delattr(token_files, "decode")
+    want = [t for _, text in rows for t in [*plain.encode(text, add_special_tokens=False).ids, 0]]
+    reader = token_files.Reader(spark, path)
+    for k in (0, len(want) - 1, *(dice.randrange(len(want)) for _ in range(40))):
+        assert reader.token(k) == want[k]
+    before = sum(f.taken for f, _ in reader.files.values())
+    assert reader.token(77) == want[77] and sum(f.taken for f, _ in reader.files.values()) - before <= 4 + 4 * (1 + 64 + 4)
+    for k in (-1, len(want)):
+        with pytest.raises(IndexError):
+            reader.token(k)
 
 
 def test_token_files(odd_docs, no_docs, monkeypatch):
