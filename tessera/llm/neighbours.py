@@ -3,16 +3,27 @@
 On a bounded sample of distinct vectors, a neighbour graph is built and cut into balanced parts
 (size-constrained label propagation, from balanced centroids, so that few edges cross). A softmax classifier
 learns, from a vector, how its graph neighbours are spread over the parts. Every row is indexed in its most
-probable part; a query goes to its several most probable ones, as many as the sample's own neighbours need
-for RECALL, and all rows there are reranked by exact cosine.
+probable part. The number of parts grows with the square root of the rows; once there are more rows than
+MOST_PARTS parts of LEAF rows hold, each part is cut in the same way by a second classifier, learned in the
+cluster from a bounded sample of that part, so that a leaf stays of about LEAF rows however many there are.
+
+A query goes to its several most probable leaves, and all rows there are reranked by exact cosine. How many
+leaves that takes is measured: the k nearest rows of HELD queries that no classifier learned from are found
+by brute force over all rows (one pass; a few rows per task and query are shuffled), and so many leaves are
+probed that RECALL of them lie there.
 
 Of equal vectors only as many as can be among a query's nearest (k + 1 with the smallest ids) go on: they
-tie, and ties go to smaller ids, so nothing is lost. Parts are worked on in cells of at most about CELL rows
-by CELL queries. A query that finds fewer than k rows in its parts is searched again in all of them.
+tie, and ties go to smaller ids, so nothing is lost. Leaves are worked on in cells of at most about CELL rows
+by CELL queries. A query that finds fewer than k rows in its leaves is searched again in all of them.
+
+Vectors are scaled by powers of two before anything is summed, so neither huge nor tiny components overflow
+or vanish, and all other scores stay what they are to the last bit.
 
 Defined cases: rows whose vector is null, zero, or has null or non-finite components, or whose length is not
 the commonest one, take no part, as candidates or queries; rows without id neither; a repeated id counts once
-per distinct vector as a candidate, and once as a query; with fewer candidates than k all are returned.
+per distinct vector as a candidate, and once as a query; with fewer candidates than k all are returned; with
+fewer than 2 x LEAST rows there is one leaf; an empty table gives no rows; columns other than id and vector,
+whatever their names (and texts of any length in them), are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +34,10 @@ from pyspark.sql import Window as W
 
 from tessera.llm.common import materialize
 
-#: Rows per part aimed at, most parts, most sampled vectors, graph neighbours, recall aimed at on the sample, rows or queries in a cell.
-PART_ROWS, PARTS, SAMPLE, GRAPH, RECALL, CELL = 1024, 256, 8192, 10, 0.985, 8192
+#: Least rows of a part, most parts of a level, rows of a leaf from which on a part is cut again, most vectors that a classifier learns from.
+LEAST, MOST_PARTS, LEAF, SAMPLE = 32, 256, 2048, 8192
+#: Graph neighbours, queries that recall is measured with, recall aimed at, rows or queries in a cell, bytes of all classifiers of the second level.
+GRAPH, HELD, RECALL, CELL, ROUTER_BYTES = 10, 256, 0.97, 8192, 64 << 20
 #: How much closer than the last place a rough score must be to be left out safely.
 SLACK = 1e-9
 
@@ -89,30 +102,29 @@ def balanced(x, graph, parts: int, seed: int = 7):
     return part
 
 
-class Router:
-    """Softmax weights from a unit vector to the parts, and how many parts a query needs."""
+def scaled(x):
+    """Rows times a power of two each, so that the largest component is from 0.5 to 1."""
+    import numpy as np
 
-    def __init__(self, weights, probes: int):
-        self.weights, self.probes = weights, probes
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
-    def ranked(self, unit):
-        import numpy as np
 
-        return np.argsort(-(unit @ self.weights[:-1] + self.weights[-1]), 1, kind="stable")
+def unit(x):
+    """Rows at length 1."""
+    import numpy as np
+
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def learn(rows: DataFrame, n: int, k: int) -> Router:
-    """The router, from at most about SAMPLE distinct vectors."""
+def classifier(x, parts: int):
+    """Softmax weights (components + 1, parts) that tell, from a unit vector, over which parts of a balanced cut of the neighbour graph its neighbours are spread."""
     import numpy as np
 
-    parts = min(PARTS, n // PART_ROWS)
-    share = min(1.0, SAMPLE / max(n, 1))
-    taken = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < int(share * (1 << 24))).orderBy("id").limit(2 * SAMPLE).toArrow() if parts > 1 else None
-    if taken is None or taken.num_rows < 64 * parts // 8:
-        return Router(np.zeros((2, 1)), 1)
-    x = np.array(taken.column("v").to_pylist())
-    x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
+    x = np.unique(x, axis=0)
     parts = max(1, min(parts, len(x) // 16))
+    if parts == 1:
+        return np.zeros((x.shape[1] + 1, 1), np.float32)
     graph = nearest_in(x, min(GRAPH, len(x) - 1))
     part = balanced(x, graph, parts)
     target = np.zeros((len(x), parts))
@@ -122,38 +134,154 @@ def learn(rows: DataFrame, n: int, k: int) -> Router:
     weights, ahead, before = np.zeros((z.shape[1], parts)), np.zeros((z.shape[1], parts)), 1.0
     step = 1.0 / max(np.linalg.eigvalsh(z.T @ z / len(z))[-1] / 2, 1e-9)
     for _ in range(400):
-        s = z @ ahead
-        p = np.exp(s - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        p = softmax(z @ ahead)
         new = ahead - step * (z.T @ (p - target) / len(z) + 1e-6 * ahead)
         after = (1 + (1 + 4 * before * before) ** 0.5) / 2
         ahead, weights, before = new + (before - 1) / after * (new - weights), new, after
-    router = Router(weights, parts)
-    order = router.ranked(x)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(parts)[None, :], 1)
-    needed = np.sort(rank[np.repeat(np.arange(len(x)), min(k, graph.shape[1])), order[graph[:, :k], 0].ravel()])
-    router.probes = min(parts, int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 2)
-    return router
+    return weights.astype(np.float32)
+
+
+def softmax(s):
+    import numpy as np
+
+    p = np.exp(s - s.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+class Router:
+    """From a unit vector to its most probable leaves: a classifier, and one for each part that is cut again.
+
+    A leaf's number is part x MOST_PARTS + its place in the part. At most (1 + MOST_PARTS) classifiers, of
+    ROUTER_BYTES together on the second level.
+    """
+
+    def __init__(self, first, second: dict | None = None):
+        self.first, self.second, self.base = first, second or {}, MOST_PARTS
+        self.leaves = sum(self.second[p].shape[1] if p in self.second else 1 for p in range(first.shape[1]))
+
+    def ranked(self, x, most: int):
+        """The `most` most probable leaves of each row, best first; fewer only if there are no more."""
+        import numpy as np
+
+        chance = softmax(x @ self.first[:-1] + self.first[-1])
+        if not self.second:
+            return np.argsort(-chance, 1, kind="stable")[:, :most] * self.base
+        order = np.argsort(-chance, 1, kind="stable")
+        names, values = [np.empty((len(x), 0), np.int64)], [np.empty((len(x), 0))]
+        for turn in range(order.shape[1]):
+            part = order[:, turn]
+            if values[0].shape[1] >= most and (chance[np.arange(len(x)), part] <= values[0][:, most - 1]).all():
+                break  # no leaf is likelier than its part
+            name, value = np.full((len(x), self.base), -1), np.full((len(x), self.base), -1.0)
+            for p in np.unique(part):
+                own = part == p
+                w = self.second.get(int(p))
+                inside = softmax(x[own] @ w[:-1] + w[-1]) if w is not None else np.ones((own.sum(), 1))
+                name[own, : inside.shape[1]] = p * self.base + np.arange(inside.shape[1])
+                value[own, : inside.shape[1]] = inside * chance[own, p][:, None]
+            names, values = [np.concatenate([*names, name], 1)], [np.concatenate([*values, value], 1)]
+            best = np.argsort(-values[0], 1, kind="stable")[:, :most]
+            names, values = [np.take_along_axis(names[0], best, 1)], [np.take_along_axis(values[0], best, 1)]
+        return names[0]
+
+
+def arrays(column):
+    """An Arrow column of equally long lists of doubles as rows."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def held() -> F.Column:
+    """Whether a row is left out of what classifiers learn from."""
+    return F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(16)) == 0
+
+
+def sampled(rows: DataFrame, share: F.Column) -> DataFrame:
+    """Rows to learn from: `share` of those that are not held, the same whenever it is run."""
+    return rows.where(~held()).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def learn(rows: DataFrame, n: int) -> Router:
+    """The router, from at most about SAMPLE distinct vectors on the driver, and as many for each part that is cut again in the cluster."""
+    import numpy as np
+
+    first = max(1, min(MOST_PARTS, n // LEAST, round(n**0.5 / 3)))
+    width = len(row[0]) if (row := rows.select("v").first()) else 1
+    taken = sampled(rows, F.lit(min(1.0, SAMPLE / n * 16 / 15))).orderBy("id").limit(2 * SAMPLE).toArrow() if first > 1 else ()
+    if len(taken) < 2 * LEAST:
+        return Router(np.zeros((width + 1, 1), np.float32))
+    router = Router(classifier(unit(arrays(taken.column("v").combine_chunks())), first))
+    if n <= 2 * MOST_PARTS * LEAF:
+        return router
+    own = routed(rows, router, 1)
+    counts = {r["part"]: r["count"] for r in own.groupBy("part").count().collect()}
+    most = max(1, min(MOST_PARTS, ROUTER_BYTES // (4 * (width + 1) * len(counts))))
+    leaves = {p: min(most, round(c / LEAF)) for p, c in counts.items()}
+
+    def cut(table):
+        import pyarrow as pa
+
+        part = table.column("part")[0].as_py()
+        made = classifier(unit(arrays(table.column("v").combine_chunks())), leaves[part])
+        return pa.table([pa.array([part]), pa.array([made.tobytes()], pa.binary())], names=["part", "weights"])
+
+    share = F.element_at(F.create_map(*(F.lit(v) for p, c in counts.items() for v in (p, min(1.0, SAMPLE / c * 16 / 15)))), F.col("part"))
+    made = sampled(own, share).groupBy("part").applyInArrow(cut, "part long, weights binary").collect()
+    return Router(router.first, {r["part"] // router.base: np.frombuffer(r["weights"], np.float32).reshape(width + 1, -1) for r in made})
+
+
+def measured(rows: DataFrame, router: Router, k: int) -> int:
+    """How many leaves the held queries need so that RECALL of their k nearest rows, by brute force, lie there."""
+    import numpy as np
+
+    if router.leaves == 1:
+        return 1
+    chosen = rows.where(held()).orderBy(F.xxhash64(F.lit("asked"), "id"), "id").limit(HELD).toArrow()
+    if not len(chosen):
+        return router.leaves
+    ids, x = chosen.column("id").to_numpy(), unit(arrays(chosen.column("v").combine_chunks()))
+    order = router.ranked(x, router.leaves)
+
+    def nearest(batches):
+        import pyarrow as pa
+
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)]
+        for batch in batches:
+            own, leaf = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for at in range(0, len(own), CELL):
+                near = x @ unit(arrays(batch.column(1).slice(at, CELL))).T
+                near[ids[:, None] == own[None, at : at + CELL]] = -2
+                top = np.argpartition(-near, min(k, near.shape[1]) - 1, 1)[:, :k]
+                new = [np.repeat(np.arange(len(x)), top.shape[1]), own[at + top].ravel(), np.take_along_axis(near, top, 1).ravel(), leaf[at + top].ravel()]
+                best = [np.concatenate(pair) for pair in zip(best, new)]
+                keep = np.lexsort((best[1], -best[2], best[0]))
+                best = [b[keep] for b in best]
+                keep = np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) < k
+                best = [b[keep] for b in best]
+        yield pa.RecordBatch.from_arrays([pa.array(b) for b in best], ["query", "id", "score", "leaf"])
+
+    found = rows.mapInArrow(nearest, "query long, id long, score double, leaf long").where("score > -2")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
+    true = found.withColumn("place", place).where(F.col("place") <= k).select("query", "leaf").collect()
+    needed = np.sort([int(np.argmax(order[r["query"]] == r["leaf"])) for r in true])
+    return int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1 if len(needed) else router.leaves
 
 
 def routed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
-    """id, v and part, a row for each of the most probable `probes` parts."""
+    """id, v and part, a row for each of the most probable `probes` leaves."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        step = max(1, (1 << 22) // (probes + MOST_PARTS))
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist())
-            if not len(x):
-                continue
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            order = router.ranked(unit)[:, :probes] if router.weights.shape[1] > 1 else np.zeros((len(x), 1), np.int64)
-            at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel())], ["id", "v", "part"])
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                order = router.ranked(unit(arrays(some.column(1))), probes)
+                row, turn = np.nonzero(order >= 0)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row)), pa.array(order[row, turn])], ["id", "v", "part"])
 
-    return rows.mapInArrow(run, "id long, v array<double>, part long")
+    return rows.select("id", "v").mapInArrow(run, "id long, v array<double>, part long")
 
 
 def cosines(q, c):
@@ -164,35 +292,29 @@ def cosines(q, c):
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k nearest of each query in each cell of its parts."""
-
-    def cells(rows):
-        return {r["part"]: -(-r["count"] // CELL) for r in rows.groupBy("part").count().collect()}
-
-    c_cells, q_cells = cells(candidates), cells(queries)
+    """query_id, vec_id, score: the k nearest of each query in each cell of its leaves."""
+    # at most MOST_PARTS x MOST_PARTS rows of three numbers
+    counts = candidates.groupBy("part").agg(F.ceil(F.count("*") / CELL).alias("c_cells")).join(queries.groupBy("part").agg(F.ceil(F.count("*") / CELL).alias("q_cells")), "part")
 
-    def spread(rows, own, other, kind):
-        table = lambda d: F.coalesce(*(F.when(F.col("part") == p, n) for p, n in d.items()), F.lit(1))
-        mine = F.pmod(F.xxhash64("id"), table(own).cast("long")) if own else F.lit(0)
-        copies = F.explode(F.sequence(F.lit(0), table(other) - 1)) if other else F.lit(0)
-        row = rows.withColumn("mine", mine.cast("int")).withColumn("copy", copies)
-        a, b = ("mine", "copy") if kind == 0 else ("copy", "mine")
-        return row.select("part", F.col(a).alias("block"), F.col(b).alias("turn"), F.lit(kind).alias("kind"), "id", "v")
+    def spread(rows, kind):
+        """A row for each cell: one of its own blocks, and every block of the other kind; leaves without the other kind go."""
+        own, other, mine, copy = ("c_cells", "q_cells", "block", "turn") if kind == 0 else ("q_cells", "c_cells", "turn", "block")
+        row = rows.join(F.broadcast(counts), "part").withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)))
+        return row.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("part", "block", "turn", F.lit(kind).alias("kind"), "id", "v")
 
     def search(table):
         import numpy as np
         import pyarrow as pa
 
         kind, ids = table.column("kind").to_numpy(), table.column("id").to_numpy()
-        v = table.column("v").combine_chunks()
-        flat = v.flatten().to_numpy().reshape(len(ids), -1)
+        flat = scaled(arrays(table.column("v").combine_chunks()))
         c_ids, c, q_ids, q = ids[kind == 0], flat[kind == 0], ids[kind == 1], flat[kind == 1]
         found = []
         if len(c) and len(q):
-            unit = c / np.linalg.norm(c, axis=1, keepdims=True)
+            c_unit = unit(c)
             for at in range(0, len(q), 256):
                 some = q[at : at + 256]
-                near = (some / np.linalg.norm(some, axis=1, keepdims=True)) @ unit.T
+                near = unit(some) @ c_unit.T
                 near[q_ids[at : at + 256, None] == c_ids[None, :]] = -np.inf
                 top = min(k, len(c))
                 least = -np.partition(-near, top - 1, 1)[:, top - 1]
@@ -206,7 +328,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         columns = [np.concatenate(x) for x in zip(*found)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
 
-    both = spread(candidates, c_cells, q_cells, 0).unionByName(spread(queries, q_cells, c_cells, 1))
+    both = spread(candidates, 0).unionByName(spread(queries, 1))
     return both.groupBy("part", "block", "turn").applyInArrow(search, "query_id long, vec_id long, score double")
 
 
@@ -222,16 +344,18 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     rows = materialize(usable(vectors, key, column), "vectors")
     alike = W.partitionBy("v").orderBy("id")
     few = materialize(rows.distinct().withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1).drop("place"), "distinct-vectors")
-    router = learn(few, few.count(), k)
+    n = few.count()
+    router = learn(few, n)
     candidates = materialize(routed(few, router, 1), "indexed-vectors")
+    probes = measured(candidates, router, k)
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     asked = materialize(asked, "asked-vectors")
-    found = materialize(best(rerank(candidates, routed(asked, router, router.probes), k), k), "found")
-    if router.probes >= router.weights.shape[1]:
+    found = materialize(best(rerank(candidates, materialize(routed(asked, router, probes), "routed-queries"), k), k), "found")
+    if probes >= router.leaves:
         return found
     full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
     short = materialize(asked.join(full, "id", "left_anti"), "short-queries")
     if short.isEmpty():
         return found
-    again = best(rerank(candidates, routed(short, router, router.weights.shape[1]), k), k)
+    again = best(rerank(candidates, materialize(routed(short, router, router.leaves), "routed-queries"), k), k)
     return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)

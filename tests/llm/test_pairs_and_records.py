@@ -115,6 +115,72 @@ def test_neighbours(spark):
     assert copies and all(got[q] == want[q] for q in copies)
 
 
+def recall(spark, rows):
+    want, got = brute_nearest(rows), defaultdict(list)
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    return sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want))
+
+
+def probes(spark, rows):
+    """Leaves of the index, and how many of them a query goes to."""
+    few = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    router = neighbours.learn(few, len(rows))
+    return router.leaves, neighbours.measured(neighbours.routed(few, router, 1), router, 5)
+
+
+def test_random_vectors_take_few_of_the_parts(spark):
+    """Vectors without any clusters; recall is measured on queries that nothing was learned from."""
+    dice = np.random.default_rng(12)
+    rows = [(i, v) for i, v in enumerate(dice.standard_normal((6000, 16)).tolist())]
+    leaves, taken = probes(spark, rows)
+    assert leaves >= 20 and taken <= leaves / 2
+    assert recall(spark, rows) >= 0.9
+
+
+def test_small_tables_have_parts_too(spark):
+    dice = np.random.default_rng(13)
+    centres = 2 * dice.standard_normal((10, 16))
+    rows = [(i, (centres[i % 10] + dice.standard_normal(16)).tolist()) for i in range(500)]
+    leaves, taken = probes(spark, rows)
+    assert leaves >= 5 and taken <= (leaves + 1) / 2 and recall(spark, rows) >= 0.9
+
+
+def test_two_levels_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_PARTS", 8)
+    monkeypatch.setattr(neighbours, "LEAF", 100)
+    dice = np.random.default_rng(14)
+    rows = [(i, v) for i, v in enumerate(dice.standard_normal((4000, 8)).tolist())]
+    leaves, taken = probes(spark, rows)
+    assert leaves > 16 and taken <= leaves / 2
+    assert recall(spark, rows) >= 0.9
+
+
+def test_leaves_are_ranked_by_probability(monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_PARTS", 4)
+    dice = np.random.default_rng(15)
+    first, second = dice.standard_normal((6, 3)), {0: dice.standard_normal((6, 4)), 2: dice.standard_normal((6, 2))}
+    router, x = neighbours.Router(first, second), dice.standard_normal((50, 5))
+    chance = {4: neighbours.softmax(x @ first[:-1] + first[-1])[:, 1]}
+    for p, w in second.items():
+        inside = neighbours.softmax(x @ w[:-1] + w[-1]) * neighbours.softmax(x @ first[:-1] + first[-1])[:, [p]]
+        chance |= {4 * p + k: inside[:, k] for k in range(w.shape[1])}
+    names = np.array(sorted(chance))
+    order = names[np.argsort(-np.stack([chance[n] for n in names], 1), 1)]
+    assert router.leaves == 7
+    for most in (1, 2, 3, 7):
+        assert (router.ranked(x, most)[:, :most] == order[:, :most]).all()
+
+
+def test_huge_and_tiny_components(spark):
+    dice = np.random.default_rng(16)
+    plain = dice.standard_normal((60, 4))
+    scale = np.array([1e200, 1e-200, 1.0])[np.arange(60) % 3]
+    kinds = "vec_id long, embedding array<double>"
+    shown = lambda rows: [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in neighbours.search(spark.createDataFrame(rows, kinds)).orderBy("query_id", "rank").collect()]
+    assert shown([(i, (v * k).tolist()) for i, (v, k) in enumerate(zip(plain, scale))]) == shown(list(enumerate(plain.tolist())))
+
+
 def test_neighbours_of_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
