@@ -6,14 +6,17 @@ next one starts at the character where it fails. The phrases per character, time
 sample's length, estimate the cross entropy; the language with the least wins.
 
 Texts are parsed in blocks of BLOCK letters, each starting a phrase, so that many blocks of many texts step
-through the automaton together, as one gather per character from its transition table. Failure is part of
-the table: a cell that has no transition leads to where the character leads from the root, and is odd.
+through the automaton together. Its transitions lie in one array, row over row, displaced so that no two
+cells meet (a double array): its size goes with the sample, whatever the number of letters, and a step is two
+gathers. A letter that the state at hand has no transition for ends the phrase and starts at the root.
 
-Letters are compared in lower case; whatever is no letter counts as one space, runs of it as one.
+Letters are compared in lower case; whatever is no letter counts as one space, runs of it as one. Every letter
+of the samples has a code of its own, and every language that has labelled rows can be predicted.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; so is every text if no labelled
 row has a letter; rows with null lang teach nothing; ties go to the language that sorts first; every input
-row gives one output row.
+row gives one output row, repeated ones and empty tables included; a very long text is parsed whole, and taught
+from by pieces from anywhere in it; columns other than doc_id, text and lang, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,23 +28,24 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, texts
 
-#: Labelled rows per language in the sample, characters of each, most languages (the commonest), most distinct letters.
-ROWS, EXCERPT, LANGUAGES, LETTERS = 64, 500, 256, 200
+#: Most pieces of labelled text in the sample of a language, characters of a piece, most pieces of all languages together.
+PIECES, PIECE, ALL_PIECES = 64, 500, 1 << 14
 BLOCK, BLOCKS, CHARS = 256, 4096, 1 << 21
 PAD, SPACE, FIRST = 0, 1, 2
 
 
-def sample(docs: DataFrame, rows: int, excerpt: int) -> dict[str, list[str]]:
-    """About `rows` excerpts of each language from rows that are not held out; the same whenever it is run."""
+def sample(docs: DataFrame, pieces: int, piece: int) -> dict[str, list[str]]:
+    """About `pieces` pieces of each language (at least one, and fewer if there are very many languages), from anywhere in the whole texts that are not held out; the same whenever it is run."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null").where(~held_out())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    known = known.withColumn("n", F.ceil(F.length("text") / piece).cast("long")).where("n > 0")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not sizes:
         return {}
-    share = F.element_at(F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, rows / n)))), F.col("lang"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
-    taken = known.where(place < F.coalesce(share, F.lit(0.0)) * (1 << 24))
-    start = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.length("text") - excerpt, F.lit(1))) + 1
-    cut = taken.select("lang", "doc_id", F.substring("text", start.cast("int"), F.lit(excerpt)).alias("part")).orderBy("doc_id", "part")
+    pieces = max(1, min(pieces, ALL_PIECES // len(sizes)))
+    share = F.element_at(F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, pieces / n)))), F.col("lang"))
+    chance = lambda k: F.pmod(F.xxhash64("doc_id", F.length("text"), k), F.lit(1 << 30))
+    taken = known.select("lang", "doc_id", "text", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: chance(k) < share * (1 << 30))).alias("k"))
+    cut = taken.select("lang", "doc_id", "k", F.substring("text", (F.col("k") * piece + 1).cast("int"), F.lit(piece)).alias("part")).orderBy("doc_id", "k", "part")
     out: dict[str, list[str]] = {}
     for r in cut.collect():
         out.setdefault(r["lang"], []).append(r["part"])
@@ -50,10 +54,10 @@ def sample(docs: DataFrame, rows: int, excerpt: int) -> dict[str, list[str]]:
 
 @functools.cache
 def letters() -> object:
-    """Whether each code point of the basic plane is a letter."""
+    """Whether each code point is a letter."""
     import numpy as np
 
-    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 class Alphabet:
@@ -63,24 +67,22 @@ class Alphabet:
         import numpy as np
 
         self.size = FIRST + len(known) + 1
-        self.codes = np.where(letters(), self.size - 1, SPACE).astype(np.uint8)
-        for i, c in enumerate(known):
-            if ord(c) < 1 << 16:
-                self.codes[ord(c)] = FIRST + i
+        self.codes = np.where(letters(), self.size - 1, SPACE).astype(np.int32)
+        self.codes[[ord(c) for c in known]] = FIRST + np.arange(len(known))
 
     def __call__(self, text: str):
         """Codes of the characters of a text."""
         import numpy as np
 
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        out = self.codes[np.minimum(points, (1 << 16) - 1)]
-        for p in np.unique(points[points >= 1 << 16]):
-            out[points == p] = self.size - 1 if chr(p).isalpha() else SPACE
-        return out
+        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
 def automaton(parts: list, width: int):
-    """The transition table of the suffix automaton of some code arrays: cell = 2 x (next state x width) + (1 if the phrase ends here)."""
+    """The suffix automaton of some code arrays: cells, and where each code leads from the root.
+
+    A state is known by its base b; its transition by code c is cell b + c: b in the upper 32 bits, the base of the next
+    state in the lower ones. Base 0 is a state without transitions, and where a code leads that the sample lacks.
+    """
     import numpy as np
 
     edges, link, length = [{}], [-1], [0]
@@ -111,25 +113,39 @@ def automaton(parts: list, width: int):
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-    dead = len(edges)  # where a letter that the sample lacks leads: a phrase of its own
-    root = np.array([edges[0].get(c, dead) for c in range(width)], np.int32) * width * 2
-    table = np.tile(root + 1, (len(edges) + 1, 1))
-    table[0] = root  # only the start of a block is here, and no phrase ends there
+    base = [0] * len(edges)
+    used, bases, free = bytearray(2 * width + 2 * sum(map(len, edges))), {0}, width
+    for state in sorted(range(1, len(edges)), key=lambda s: (-len(edges[s]), s)):
+        codes = sorted(edges[state])
+        if not codes:
+            break
+        while free < len(used) and used[free]:
+            free += 1
+        at = free
+        while at - codes[0] in bases or any(used[at - codes[0] + c] for c in codes if at - codes[0] + c < len(used)):
+            at = used.find(0, at + 1)
+            at = len(used) if at < 0 else at
+        b = at - codes[0]
+        if b + codes[-1] >= len(used):
+            used.extend(bytes(b + codes[-1] + 1 - len(used)))
+        for c in codes:
+            used[b + c] = 1
+        base[state] = b
+        bases.add(b)
+    cells = np.zeros(max(base) + width + 1, np.int64)
     for state, out in enumerate(edges):
-        for c, to in out.items():
-            table[state, c] = to * width * 2
-    table[:, PAD] = 0
-    return table.ravel()
+        if state and out:
+            for c, to in out.items():
+                cells[base[state] + c] = base[state] << 32 | base[to]
+    return cells, np.array([base[edges[0][c]] if c in edges[0] else 0 for c in range(width)], np.int64)
 
 
 @functools.lru_cache(2)
 def models(sampled: tuple):
-    """Alphabet, and (table, log of the sample's length) per language; once per process."""
+    """Alphabet, and (automaton, log of the sample's length) per language; once per process."""
     import math
-    from collections import Counter
 
-    seen = Counter(c for _, parts in sampled for p in parts for c in p.lower() if c.isalpha())
-    alphabet = Alphabet("".join(sorted(c for c, _ in seen.most_common(LETTERS))))
+    alphabet = Alphabet("".join(sorted({c for _, parts in sampled for p in parts for c in p.lower() if c.isalpha()})))
     made = []
     for _, parts in sampled:
         coded = [squeezed(alphabet(p.lower())) for p in parts]
@@ -149,15 +165,15 @@ def phrases(table, blocks):
     """Phrases of each column of a (BLOCK, n) array of codes."""
     import numpy as np
 
-    base = np.zeros(blocks.shape[1], np.int32)
-    spot, count = np.empty_like(base), np.ones(blocks.shape[1], np.int32)
-    odd = np.empty_like(base)
-    for row in blocks:
-        np.add(base, row, out=spot)
-        np.take(table, spot, out=base, mode="clip")
-        np.bitwise_and(base, 1, out=odd)
-        count += odd
-        base >>= 1
+    cells, root = table
+    state = root[blocks[0]]
+    count = np.ones(blocks.shape[1], np.int32)
+    for row in blocks[1:]:
+        cell = cells[state + row]
+        ends = cell >> 32 != state
+        ends |= state == 0
+        count += ends & (row != PAD)
+        state = np.where(ends, root[row], cell & 0xFFFFFFFF)
     return count
 
 
@@ -180,21 +196,21 @@ def entropies(rows: list[str], alphabet, made):
     starts = begins[owner] + within * BLOCK
     ends = np.minimum(starts + BLOCK, (begins + sizes)[owner])
     total = np.zeros((len(made), len(rows)))
-    padded = np.concatenate([codes, np.zeros(BLOCK, np.uint8)])
+    padded = np.concatenate([codes, np.zeros(BLOCK, np.int32)])
     for at in range(0, len(starts), BLOCKS):
         here = starts[at : at + BLOCKS]
         place = np.arange(BLOCK)[:, None] + here[None, :]
         block = padded[place]
         block[place >= ends[at : at + BLOCKS][None, :]] = PAD
         for k, (table, _) in enumerate(made):
-            total[k] += np.bincount(owner[at : at + BLOCKS], phrases(table, block.astype(np.int32)), len(rows))
+            total[k] += np.bincount(owner[at : at + BLOCKS], phrases(table, block), len(rows))
     logs = np.array([log for _, log in made])[:, None]
     return has, total * logs / np.maximum(sizes, 1)
 
 
-def identify(docs: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT) -> DataFrame:
+def identify(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; score is how far the runner-up is: its entropy over the sum of the two least."""
-    sampled = tuple((k, tuple(v)) for k, v in sorted(sample(docs, rows, excerpt).items()))
+    sampled = tuple((k, tuple(v)) for k, v in sorted(sample(docs, pieces, piece).items()))
     names = [k for k, _ in sampled]
 
     def run(batches):

@@ -23,15 +23,48 @@ from pyspark.sql import functions as F
 #: Date of records that are built from pages, which have none.
 DATE = "2024-01-01T00:00:00Z"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b.*?</head\s*>|<!doctype[^>]*>", re.I | re.S)
+HIDING = re.compile(r"<(?:(!--)|(script|style|noscript|template)\b|(head)\b|!doctype)", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "head")}
 BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|nav|footer|header|article|section|aside|main|blockquote|pre|hr|title)\b[^>]*>", re.I)
 TAG = re.compile(r"</?[a-z][^>]*>|<[?!][^>]*>", re.I)
+#: Numeric references whose number is above all code points, and zeros in front of others.
+TOO_LARGE, ZEROS = re.compile(r"&#(?:0*+[1-9][0-9]{7,}+|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{7,}+);?"), re.compile(r"(&#[xX]?)0{2,}+")
+
+
+def bare(page: str) -> str:
+    """The page with a space for each comment, doctype, head, and element that shows nothing. What is never closed: a comment or
+    element hides the rest, a head or a tag without > hides nothing. One pass: what was looked for in vain is not looked for again."""
+    out, at, more, tags, heads = [], 0, 0, True, True
+    while m := HIDING.search(page, more):
+        end = -1
+        if m[1]:
+            end = page.find("-->", m.end())
+            end = end + 3 if end >= 0 else len(page)
+        elif m[3]:
+            closed = CLOSING["head"].search(page, m.end()) if heads else None
+            heads, end = closed is not None, closed.end() if closed else -1
+        elif tags:
+            end = page.find(">", m.end()) + 1 or -1
+            tags = end > 0
+            if m[2] and tags:
+                closed = CLOSING[m[2].lower()].search(page, end)
+                end = closed.end() if closed else len(page)
+        if end < 0:
+            more = m.start() + 1
+            continue
+        out += [page[at : m.start()], " "]
+        at = more = end
+    return "".join([*out, page[at:]])
 
 
 def page_text(page: str) -> str:
     """The visible text of a page: a line for each block, white space within lines as one space."""
-    bare = TAG.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", page)))
-    lines = (" ".join(line.split()) for line in html.unescape(bare).split("\n"))
+    shown = bare(page)
+    for pattern, instead in ((BREAKS, "\n"), (TAG, "")):
+        last = shown.rfind(">") + 1  # behind it no tag ends
+        shown = pattern.sub(instead, shown[:last]) + shown[last:]
+    shown = html.unescape(ZEROS.sub(r"\g<1>0", TOO_LARGE.sub("\ufffd", shown)))
+    lines = (" ".join(line.split()) for line in shown.split("\n"))
     return "\n".join(line for line in lines if line)
 
 

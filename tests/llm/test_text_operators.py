@@ -192,6 +192,30 @@ def test_phrases_are_longest_matches():
         assert language_id.phrases(table, codes)[0] == brute_phrases(parts, text)
 
 
+def test_verdicts_are_those_of_brute_force(spark):
+    """Texts of one block: the language with the least phrases x log of its sample's length, over its letters."""
+    dice = random.Random(15)
+    kinds = {"ja": "あいうえおかきくけこ", "xx": "abcdefg", "yy": "abcdefh", "zz": "αβγδ𐐨"}
+    make = lambda k: " ".join("".join(dice.choice(kinds[k]) for _ in range(4)) for _ in range(30))
+    rows = [(n, make(k), k) for n in range(120) for k in [dice.choice(sorted(kinds))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sampled = language_id.sample(docs, language_id.PIECES, language_id.PIECE)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    for n, text, _ in rows:
+        cost = {k: brute_phrases(v, text) * np.log2(sum(map(len, v))) for k, v in sampled.items()}
+        assert cost[got[n]] <= min(cost.values()) + 1e-9
+
+
+def test_three_hundred_languages_of_many_letters(spark):
+    """Each language has letters of its own, 1800 in all; every one is predicted."""
+    dice = random.Random(16)
+    own = {f"l{k:03}": [chr(0x4E00 + 6 * k + j) for j in range(6)] for k in range(300)}
+    rows = [(10 * i + n, "".join(dice.choice(own[k]) for _ in range(40)), k) for i, k in enumerate(sorted(own)) for n in range(10)]
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {n: k for n, _, k in rows}
+    assert all(r["lang_pred"] == want[r["doc_id"]] for r in out)
+
+
 def test_language_id(spark, odd_docs, no_docs):
     dice = random.Random(7)
     kinds = {"xx": "the and of ing ion", "yy": "der und ung sch ein", "zz": "que los con del ado"}
@@ -275,6 +299,30 @@ def test_each_private_key_counts_by_its_body(spark):
     assert redacted[21] == "a [pem]"
 
 
+def test_hostile_texts_take_linear_time(spark):
+    """Texts of 3 MB, each of which took hours with a pattern that starts over."""
+    import time
+
+    from tessera.llm import warc
+
+    began = time.perf_counter()
+    for unit in ("eyJ", "<0123456789abcdef0 ghp_aaaaaaaaaaaaaaaaaaaaa ", "-----BEGIN PRIVATE KEY----- A-b:", "abcdefghijklmn://x:y:", "password=abcdefghijklmnop "):
+        secrets_scan.matches(unit * (3_000_000 // len(unit)))
+    for unit in ("<head", "<a", "<script", "<!--", "<p", "&#9"):
+        warc.page_text(unit * (3_000_000 // len(unit)))
+    assert time.perf_counter() - began < 60
+
+
+def test_ownership_counts_distinct_owners(spark):
+    dice = random.Random(17)
+    keys = ["ghp_" + "".join(dice.choice("abcXYZ019") for _ in range(30)) for _ in range(20)]
+    rows = [(n, " ".join(dice.sample(keys, 2)), dice.choice(["a", "b", "", None]), dice.choice(["u", "v", None])) for n in range(60)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, source string, owner string")
+    got = sorted(tuple(r)[1:] for r in secrets_scan.ownership(secrets_scan.scan(docs, "source", "owner")).select("hash", "n_repositories", "n_owners", "n_rows").collect())
+    holders = {k: [r for r in rows + rows[:5] if k in r[1]] for k in keys}
+    assert got == sorted((len({r[2] for r in own}), len({r[3] for r in own}), len(own)) for own in holders.values() if own)
+
+
 def test_long_credentials_in_urls_are_found():
     for user, password in (("u" * 65, "p" * 10), ("user", "p.!" * 60), ("u" * 300, "p,:" * 400)):
         text = f"see https://{user}:{password}@host/x"
