@@ -114,20 +114,28 @@ def automaton(parts: list, width: int):
                     link[q] = link[new] = twin
             last = new
     base = [0] * len(edges)
-    used, bases, free = bytearray(2 * width + 2 * sum(map(len, edges))), {0}, width
+    used, bases, free, single = bytearray(2 * width + 2 * sum(map(len, edges))), {0}, width, False
     for state in sorted(range(1, len(edges)), key=lambda s: (-len(edges[s]), s)):
         codes = sorted(edges[state])
         if not codes:
             break
-        while free < len(used) and used[free]:
-            free += 1
-        at = free
-        while at - codes[0] in bases or any(used[at - codes[0] + c] for c in codes if at - codes[0] + c < len(used)):
-            at = used.find(0, at + 1)
-            at = len(used) if at < 0 else at
-        b = at - codes[0]
-        if b + codes[-1] >= len(used):
-            used.extend(bytes(b + codes[-1] + 1 - len(used)))
+        if len(codes) == 1 and not single:
+            free, single = width, True  # from here on every hole will do
+        at, tries = free, 0
+        while True:
+            at = used.find(0, at)
+            b = at - codes[0]
+            if b + codes[-1] >= len(used) or at < 0:
+                used.extend(bytes(len(used)))
+                at = max(at, free)
+            elif b not in bases and not any(used[b + c] for c in codes):
+                break
+            else:
+                at, tries = at + 1, tries + 1
+                if tries % 32 == 0:
+                    free = at  # holes before this are left to states with fewer transitions
+        if single:
+            free = at
         for c in codes:
             used[b + c] = 1
         base[state] = b
