@@ -84,9 +84,11 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate; for a scan, the size of its files. Only ever used to choose how finely to deal rows out."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def size_in_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of the files that df reads, or of a column where Catalyst knows of no files. Only ever used to choose how finely to deal rows out."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return known if known < 1 << 60 else df.agg(F.sum(F.octet_length(column))).collect()[0][0] or 0
 
 
 def raw(column) -> list:

@@ -63,6 +63,35 @@ def test_join_rounds_lose_no_link(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()} == brute_join(rows)
 
 
+def test_a_shingle_in_every_document(spark, monkeypatch):
+    """A passage that all documents have, in blocks that count it once; groups of near copies; sizes at the edge of the threshold."""
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 1 << 12)
+    dice = random.Random(21)
+    passage, rows = prose(dice, 40), []
+    for _ in range(60):
+        words = prose(dice, dice.choice((20, 120, 300)), 3000).split()
+        for _ in range(dice.choice((1, 1, 2, 7))):
+            own = list(words)
+            for _ in range(dice.randrange(6)):
+                own[dice.randrange(len(own))] = f"x{dice.randrange(10**6)}"
+            rows.append(passage + " " + " ".join(own))
+    rows += [passage] * 3 + [" ".join([passage] * 2)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_join(rows)
+    for local in (2, 16):
+        monkeypatch.setattr(ngram_join, "LOCAL", local)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()} == want
+
+
+def test_ids_with_several_texts_keep_the_first(spark):
+    dice = random.Random(22)
+    a, b = prose(dice, 80), prose(dice, 80)
+    docs = spark.createDataFrame([(1, max(a, b)), (1, min(a, b)), (2, prose(dice, 80))], "doc_id long, text string")
+    for parts in (1, 3):
+        assert sorted(map(tuple, ngram_join.representatives(docs.repartition(parts)).collect()))[0] == (1, min(a, b))
+
+
 def test_join_on_odd_tables(odd_docs, no_docs):
     out = ngram_join.join(odd_docs).collect()
     assert len(out) == 17
