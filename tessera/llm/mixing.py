@@ -14,7 +14,10 @@ A token is a word, [^\\x20\\x09-\\x0D]+.
 Defined cases: null text counts as empty; labels without a known domain are left out; a domain without
 labels has posterior 0, and without labels at all every posterior is equal; targets that no rates can
 reach are approached in the least-squares sense; a domain that would need more than REPEATS copies of what
-tells it from the others stays that far below its target; every input row gives one output row.
+tells it from the others stays that far below its target; rows that share a doc_id, or have none, are drawn each
+for itself by their text as well, and copies of a row are drawn alike; a very long text is counted whole; an empty table gives
+no rows; further columns, whatever their names, pass mix() and are not read by rates(); every input row gives one
+output row of rates().
 """
 
 from __future__ import annotations
@@ -78,6 +81,7 @@ def telling_words(sampled: DataFrame, sizes: dict[int, int], most: int) -> list[
     total = sum(sizes.values())
     counts = sampled.mapInArrow(run, "word binary, domain int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("domain") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in sizes))
     everywhere = reduce(lambda a, b: a + b, (F.col(f"n{k}") for k in sizes))
+    counts = materialize(counts.where(everywhere >= 5), "mixing-words")  # read once per domain
     chosen = set()
     for k, size in sizes.items():
         inside, outside, rest = F.col(f"n{k}"), everywhere - F.col(f"n{k}"), total - size
@@ -233,11 +237,11 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The documents as often as their rates say, with the columns they came with.
 
-    A rate's whole part is copies; its fraction is the chance of one more, decided by a hash of the doc_id, so
+    A rate's whole part is copies; its fraction is the chance of one more, decided by a hash of doc_id and text, so
     expected tokens of each domain match. Posteriors are computed again beside the columns, so no text is shuffled.
     """
     model = fit(docs, labels)
     steps = fit_rates(posterior_table(docs, model), targets)
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "row.doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    chance = F.pmod(F.xxhash64(F.lit("mix"), "row.doc_id", "row.text"), F.lit(1 << 30)) / F.lit(1 << 30)
     rows = posteriors(docs, model).withColumn("m_copies", F.floor(rate(steps) + chance).cast("int")).where("m_copies > 0")
     return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select("row.*")

@@ -59,7 +59,7 @@ def own_bits(fragments: int) -> int:
 
 def tasks_for(fragments: int) -> int:
     """Tasks that work on fragments, or blocks, so that one reads as much on large inputs as on small ones."""
-    return max(4, fragments // 4)
+    return max(8, fragments)
 
 
 def grams(text: bytes | None, n: int):

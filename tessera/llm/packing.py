@@ -7,7 +7,9 @@ then packed as items, largest first, by the same rule, GROUP tasks' leavings tog
 lost does not depend on how many tasks there are.
 
 Defined cases: null text counts as empty (one end token); only pieces longer than a sequence are cut; an
-empty table gives no rows; repeated rows are packed each for itself.
+empty table gives no rows; repeated rows are packed each for itself; of bins with equal space the last one used
+is taken; a very long text gives as many pieces as it needs; columns other than doc_id and text, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ calibrated by isotonic regression (pool adjacent violators), which gives the pro
 
 Defined cases: null text counts as empty; rows without label teach nothing; without any label every score
 is 0.5, and with labels of one kind only it is that label; copies of a text count as often as they are
-labelled; every input row gives one output row.
+labelled; a repeated id, ties in score and clashing columns change nothing (only doc_id and text are read); a
+row without doc_id is scored and not held out; a very long text is counted whole; an empty table gives no rows;
+every input row gives one output row.
 """
 
 from __future__ import annotations
@@ -155,7 +157,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     rows = materialize(rows, "quality-labelled")
     known = moments(rows)
     if known is None:
-        return measured.select("doc_id", held_out().alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(0.5 >= threshold)).alias("predicted"))
+        return measured.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(0.5 >= threshold)).alias("predicted"))
     features = Fourier(*known)
     totals = normal_equations(rows, features)
     whole = totals.sum(0)

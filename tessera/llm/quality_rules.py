@@ -10,7 +10,9 @@ documents of every stratum. Among certified cutoffs, the one that best separates
 Defined cases: null text counts as empty and fails the base rule; labels that are null or without a
 document count for nothing; labelled copies of a text count once, as good if any copy is (independent
 trials are what the test assumes); without enough labels no cutoff is certified and only the base rule
-rejects; every input row gives one output row, repeated ids included.
+rejects; ties with a cutoff pass; a very long text is counted whole; an empty table gives no rows; further columns,
+whatever their names, pass keep() and are not read by judge(); every input row gives one output row, repeated ids
+included.
 """
 
 from __future__ import annotations
@@ -81,10 +83,17 @@ def with_rules(measured: DataFrame) -> DataFrame:
 
 
 def log_binomial_cdf(k: int, n: int, p: float) -> float:
-    """log P(Bin(n, p) <= k), exact up to rounding."""
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
+    """log P(Bin(n, p) <= k), exact up to rounding: terms from the largest on both ways, until they no longer count."""
+    term = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    mode = min(k, int((n + 1) * p))
+    top, total = term(mode), 1.0
+    for way in (range(mode - 1, -1, -1), range(mode + 1, k + 1)):
+        for i in way:
+            part = math.exp(term(i) - top)
+            total += part
+            if part < 1e-18:
+                break
+    return top + math.log(total)
 
 
 def certify(rejected: list[int], n: int, risk: float, delta: float) -> list[int]:

@@ -6,7 +6,9 @@ Both name the source by WARC-Refers-To, with its target and date, and have diges
 identifiers are derived from the source's identifier, so a run that is repeated writes the same records.
 
 Defined cases: a null page is an empty body; a page without URL has no target header; bytes that are no WARC
-response give one row of type `invalid` with the reason; repeated rows each give their records.
+response give one row of type `invalid` with the reason; repeated rows each give their records; of headers that
+are there twice, the last one counts and metadata keeps both; a very long page takes time in proportion to its length; an
+empty table gives no rows; columns other than those named, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -249,6 +249,73 @@ def test_quality_classifier(spark, odd_docs, odd_labels, no_docs, no_labels):
     assert set(quality_classifier.score(odd_docs, no_labels).toPandas().score) == {0.5}
 
 
+def test_scores_are_those_of_brute_force(spark):
+    """Features, ridge weights and calibration worked out again by plain means: stacked least squares, and the max-min formula of isotonic regression."""
+    dice = random.Random(18)
+    rows = [(n, prose(dice, dice.randrange(5, 90), 80).replace(" ", dice.choice([" ", "# ", "\n", "! "]))) for n in range(300)]
+    marks = [(n, int(dice.random() < (0.9 if "#" not in text else 0.3))) for n, text in rows]
+    out = quality_classifier.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int")).toPandas().sort_values("doc_id")
+    x = textstats.ratios(list(zip(*(textstats.counts(t.encode()) for _, t in rows))))
+    fold, y = np.array([zlib.crc32(str(n).encode()) % 5 for n, _ in rows]), np.array([q for _, q in marks], float)
+    own = fold > 0
+    mean, spread = x[own].mean(0), np.maximum(x[own].std(0), 1e-6)
+    dice = np.random.default_rng(quality_classifier.SEED)
+    turn, phase = dice.standard_normal((15, quality_classifier.FEATURES)) / quality_classifier.BANDWIDTH, dice.uniform(0, 2 * np.pi, quality_classifier.FEATURES)
+    z = np.concatenate([np.sqrt(2 / quality_classifier.FEATURES) * np.cos(np.clip((x - mean) / spread, -8, 8) @ turn + phase), np.ones((len(x), 1))], 1)
+
+    def ridge(rows):
+        held = np.diag([(quality_classifier.RIDGE * rows.sum()) ** 0.5] * quality_classifier.FEATURES + [(1e-9 * rows.sum()) ** 0.5])
+        return np.linalg.lstsq(np.concatenate([z[rows], held]), np.concatenate([y[rows], np.zeros(len(held))]), rcond=None)[0]
+
+    bins = lambda values: np.clip((values + 0.5) / 2 * quality_classifier.BINS, 0, quality_classifier.BINS - 1).astype(int)
+    spot = np.concatenate([bins(z[fold == k] @ ridge(own & (fold != k))) for k in range(1, 5)])
+    told = np.concatenate([y[fold == k] for k in range(1, 5)])
+    known = np.unique(spot)
+    total, count = np.array([told[spot == b].sum() for b in known]), np.array([(spot == b).sum() for b in known])
+    fitted = [max(min(total[a : b + 1].sum() / count[a : b + 1].sum() for b in range(i, len(known))) for a in range(i + 1)) for i in range(len(known))]
+    want = np.interp(bins(z @ ridge(own)), known, fitted)
+    assert np.mean(np.isclose(out.score, want, atol=1e-9)) > 0.98  # a value on the edge of a bin may fall either way
+    assert (out.predicted == (out.score >= 0.3)).all() and (out.held_out.values == (fold == 0)).all()
+
+
+def test_rates_are_those_of_plain_descent(spark):
+    """The same projected descent with the rates of all documents held as one vector; it meets targets that dual ascent shows to be within reach."""
+    dice = np.random.default_rng(19)
+    p = dice.dirichlet((4, 0.4, 0.5), 200)
+    tokens = dice.integers(20, 400, 200)
+    table = spark.createDataFrame([(int(t), *map(float, row)) for t, row in zip(tokens, p)], "m_tokens long, m_clean double, m_toxic double, m_low double")
+    got = np.array([r["r"] for r in table.withColumn("r", mixing.rate(mixing.fit_rates(table, mixing.TARGETS))).collect()])
+    share = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    wanted = share / share[0] * (tokens @ p[:, 0])
+    prices = np.zeros(3)
+    while np.abs(gap := (np.maximum(0, 1 - p @ prices) * tokens) @ p - wanted).max() > 1e-6 * wanted.sum():
+        prices += 0.5 * gap / tokens.sum()
+    rates = np.ones(200)
+    while np.abs(gap := (rates * tokens) @ p - wanted).max() > 1e-7 * wanted.sum():
+        moving = p[rates > 0]
+        rates = np.maximum(0, rates - p @ np.linalg.solve(moving.T @ (moving * tokens[rates > 0, None]), gap))
+    assert np.allclose(got, rates, atol=1e-6)
+
+
+def test_certified_chains_and_cutoffs_are_exact():
+    from fractions import Fraction
+    from math import comb
+
+    def tail(k, n, p):
+        return sum(comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1))
+
+    dice = random.Random(20)
+    for _ in range(40):
+        n, risk, delta = dice.randrange(1, 400), dice.choice((0.01, 0.05, 0.2)), dice.choice((0.01, 0.2))
+        rejected = sorted(dice.randrange(0, n // 8 + 1) for _ in range(12))
+        want = []
+        for i, k in enumerate(rejected):
+            if k > risk * n or tail(k, n, risk) > Fraction(delta):
+                break
+            want.append(i)
+        assert quality_rules.certify(rejected, n, risk, delta) == want
+
+
 def test_mixing_meets_targets(spark, odd_docs, odd_labels, no_docs, no_labels):
     dice = random.Random(10)
     rows = [(n, prose(dice, 60) + (" vile vile" if n % 5 == 0 else "") if n % 7 else prose(dice, 60).replace(" ", "### ")) for n in range(500)]
