@@ -1,11 +1,17 @@
-"""A corpus pipeline: quality rules, near-duplicate removal, secret redaction, mixing and packing, each over all that the one before kept."""
+"""A corpus pipeline: quality rules, near-duplicate removal, secret redaction, mixing and packing, each over all that the one before kept.
+
+Defined cases: null and empty texts fail the quality rules; very long texts go through whole; rows without doc_id
+are kept by the join; of rows that share a doc_id the join keeps one; an empty table gives no rows; columns of
+documents, whatever their names, reach the packing, which reads doc_id and text. Each stage's table is deleted once
+the next one is written; the last one's is the result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, ngram_join, packing, quality_rules, secrets_scan
-from tessera.llm.common import materialize
+from tessera.llm.common import delete, materialize, scratch
 from tessera.llm.queries import WORDS, table
 
 #: SQL cannot express the join, the classifier or the packing.
@@ -42,7 +48,11 @@ STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates),
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is a Parquet table that the next one reads."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, old = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", keep=True)
+        for path in old:
+            delete(spark, path)
+        old = list({f.rsplit("/", 1)[0] for f in docs.inputFiles()})
+    return docs
