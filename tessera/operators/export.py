@@ -19,10 +19,17 @@ def redacted(rows: DataFrame, kind: str, secret: list[str], include: bool = Fals
 
 
 def lines(*kinds: tuple[DataFrame, list[str]]) -> DataFrame:
-    """One text column `value` of JSON lines: kinds in their order, rows of each by its order columns."""
+    """One text column `value` of JSON lines: kinds in their order, rows of each by its order columns (numbers by value, text and bytes byte by byte).
+
+    Order columns that are bytes are left out of the lines.
+    """
     made = []
     for rank, (rows, order) in enumerate(kinds):
-        json = F.to_json(F.struct("kind", *(c for c in rows.columns if c != "kind")), {"ignoreNullFields": "false"})
-        keys = F.struct(*(F.col(c).cast("string") if t not in ("bigint", "int") else F.lpad(F.col(c).cast("string"), 20, "0") for c, t in ((c, dict(rows.dtypes)[c]) for c in order)))
-        made.append(rows.select(F.lit(rank).alias("rank"), F.to_json(keys).alias("ord"), json.alias("value")))
-    return reduce(DataFrame.unionByName, made).orderBy("rank", "ord").select("value")
+        types = dict(rows.dtypes)
+        names = [c for c in rows.columns if c != "kind" and types[c] != "binary"]
+        json = F.to_json(F.struct("kind", *names), {"ignoreNullFields": "false"})
+        number = [F.col(c).cast("long") if types[c] in ("bigint", "int") else F.lit(None).cast("long") for c in order]
+        data = [F.lit(None).cast("binary") if types[c] in ("bigint", "int") else F.col(c).cast("binary") for c in order]
+        keys = [F.struct(n, b) for n, b in zip(number, data)] + [F.struct(F.lit(None).cast("long"), F.lit(None).cast("binary"))] * (2 - len(order))
+        made.append(rows.select(F.lit(rank).alias("rank"), *(k.cast("struct<n: bigint, b: binary>").alias(f"ord{i}") for i, k in enumerate(keys)), json.alias("value")))
+    return reduce(DataFrame.unionByName, made).orderBy("rank", "ord0", "ord1").select("value")

@@ -182,3 +182,114 @@ def test_export_and_backup(store, spark, tmp_path):
     with pytest.raises(StorageError):
         store.backup(str(tmp_path / "copy"))
     assert Store.open_existing(spark, str(tmp_path / "copy")).stats()["events"] == 3
+
+
+def many(store, n, start=1):
+    for k in range(start, start + n):
+        store.commit(CommitBatch(i(k), k).append_event(event(k)))
+
+
+def test_a_missing_marker_is_found_and_nothing_is_written_over_it(spark, tmp_path):
+    path = tmp_path / "s"
+    many(Store.open(spark, str(path), durability="relaxed", checkpoint_every=0), 6)
+    (path / "log" / f"{4:020d}.json").unlink()
+    again = Store.open(spark, str(path), durability="relaxed", checkpoint_every=0)
+    assert ("integrity_check", "markers 4 to 4 are missing") in again.verify()
+    with pytest.raises(StorageError):
+        again.commit(CommitBatch(i(50), 1).append_event(event(50)))
+    assert not (path / "log" / f"{4:020d}.json").exists()
+
+
+def test_a_marker_of_another_history_is_refused(spark, tmp_path):
+    import shutil
+
+    for name in ("a", "b"):
+        many(Store.open(spark, str(tmp_path / name), durability="relaxed", checkpoint_every=0), 3, 1 if name == "a" else 100)
+    shutil.copy(tmp_path / "b" / "log" / f"{3:020d}.json", tmp_path / "a" / "log" / f"{3:020d}.json")
+    with pytest.raises(StorageError, match="does not follow"):
+        Store.open_existing(spark, str(tmp_path / "a"))
+
+
+def test_folds_are_checked_and_old_ones_go(spark, tmp_path):
+    import shutil
+
+    path = tmp_path / "s"
+    store = Store.open(spark, str(path), durability="relaxed", checkpoint_every=2)
+    many(store, 8)
+    assert len(list((path / "folds").glob("*.json"))) == 2 and len(list((path / "tables").iterdir())) == 2
+    assert store.log.numbers() == [7, 8] and store.verify() == [] and store.fold_error is None
+    again = Store.open_existing(spark, str(path))
+    assert [e["event_id"] for e in again.events_after(0, None)] == [i(k) for k in range(1, 9)]
+    newest = sorted((path / "tables").iterdir())[-1]
+    shutil.rmtree(newest / "streams")
+    assert ("integrity_check", "fold 8: streams has no table, not 1 rows") in store.verify()
+
+
+def test_disk_errors_are_typed(spark, tmp_path, monkeypatch):
+    store = Store.open(spark, str(tmp_path / "s"), durability="strict", checkpoint_every=0)
+
+    def fail(self):
+        raise OSError("disk")
+
+    with monkeypatch.context() as m:
+        m.setattr("tessera.store.log.Log.settle", fail)
+        with pytest.raises(Indeterminate):
+            store.commit(CommitBatch(i(1), 1).append_event(event(1)))
+    assert store.recover_transaction(i(1))["kind"] == "committed"
+    with monkeypatch.context() as m:
+        m.setattr("os.link", lambda *a: fail(None))
+        with pytest.raises(StorageError):
+            store.commit(CommitBatch(i(2), 1).append_event(event(2)))
+    assert store.recover_transaction(i(2))["kind"] == "absent"
+    with monkeypatch.context() as m:
+        m.setattr(Store, "checkpoint", fail)
+        store.checkpoint_every = 1
+        store.commit(CommitBatch(i(3), 1).append_event(event(3)))
+        assert isinstance(store.fold_error, OSError)
+    store.commit(CommitBatch(i(4), 1).append_event(event(4)))
+    assert store.fold_error is None and store.stream_version("s") == 3 and store.verify() == []
+
+
+def test_a_killed_writer_leaves_whole_commits(spark, tmp_path):
+    """A writer that dies between writing aside and linking leaves nothing that counts."""
+    path = tmp_path / "s"
+    store = Store.open(spark, str(path), durability="relaxed", checkpoint_every=0)
+    many(store, 2)
+    (path / "log" / ".aside").write_text('{"kind": "com')
+    again = Store.open(spark, str(path), durability="relaxed", checkpoint_every=0)
+    many(again, 1, 3)
+    assert again.stream_version("s") == 3 and again.verify() == []
+
+
+def test_a_changed_checksum_is_reported(spark, tmp_path):
+    import json
+
+    from tessera import cli
+    from tessera.store.errors import ChecksumMismatch
+
+    path = tmp_path / "s"
+    many(Store.open(spark, str(path), durability="relaxed"), 1)
+    record = path / "schema.json"
+    record.write_text(json.dumps(json.loads(record.read_text()) | {"checksum": "00"}))
+    found = Store.open_existing(spark, str(path)).verify()
+    assert {c for c, _ in found} == {"migrations", "migration_checksums"} and cli.main([str(path), "verify"], spark) == cli.FINDINGS
+    with pytest.raises(ChecksumMismatch):
+        Store.open(spark, str(path))
+
+
+def test_replace_and_export_order(store, spark):
+    import json
+
+    batch = CommitBatch(i(1), 1)
+    for n, stream in enumerate(("a!", "a", "a 1", 'a"', "é", "b"), 1):
+        batch.append_event(event(n, stream))
+    store.commit(batch.apply_projection_patch(ProjectionPatch("p", 0).put(b"\xff", b"1").put(b"\x80a", b"2").put(b"a", b"3")))
+    lines = [json.loads(r["value"]) for r in store.diagnostic_export().collect()]
+    assert lines[0] == {"kind": "header", "format": "tessera-diagnostic-v1", "restorable": False, "schema_version": 1, "payloads_included": False}
+    assert lines[1]["kind"] == "stats" and lines[1]["events"] == 6 and lines[1]["projection_entries"] == 3 and lines[1]["jobs_by_state"] == {}
+    assert [x["stream_id"] for x in lines if x["kind"] == "stream"] == ["a", "a 1", "a!", 'a"', "b", "é"]
+    assert [(x["key_hex"], x["value_len"]) for x in lines if x["kind"] == "projection_entry"] == [("61", 1), ("8061", 1), ("ff", 1)]
+    store.commit(CommitBatch(i(2), 2).apply_projection_patch(ProjectionPatch("p", 1).replace([(b"x", b"9"), (b"y", b"8")])))
+    assert store.projection_scan_prefix("p", b"", None) == [(b"x", b"9"), (b"y", b"8")] and store.projection_version("p") == 2
+    store.commit(CommitBatch(i(3), 3).expect_stream_version("new", 0))
+    assert store.stats()["streams"] == 7 and store.stream_version("new") == 0
