@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,6 +39,24 @@ def assign_versions(batch: DataFrame, streams: DataFrame, order: list[str]) -> D
     return batch.join(streams, "stream_id", "left").withColumn("stream_version", F.coalesce("current_version", F.lit(0)) + place).drop("current_version")
 
 
+def upsert_streams(streams: DataFrame, written: DataFrame) -> DataFrame:
+    """Streams after a batch (stream_id, current_version of each that it wrote or expected, at 0 too): the greatest version of each."""
+    return streams.unionByName(written).groupBy("stream_id").agg(F.max("current_version").alias("current_version"))
+
+
+def big_endian(number: str | Column) -> Column:
+    """A number as 8 bytes."""
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
+
+
+def expectation_digest(batches: DataFrame) -> DataFrame:
+    """request_digest of batches without operations (transaction_id, committed_at_ms, metadata, stream_id, expected), over the same bytes as CommitBatch.digest()."""
+    sized = lambda c: F.concat(big_endian(F.octet_length(c).cast("long")), F.col(c).cast("binary"))
+    none, one, zero = F.lit(b"\0"), big_endian(F.lit(1).cast("long")), big_endian(F.lit(0).cast("long"))
+    data = F.concat(big_endian("committed_at_ms"), none, sized("metadata"), one, sized("stream_id"), big_endian("expected"), zero)
+    return batches.select("transaction_id", F.sha2(data, 256).alias("request_digest"))
+
+
 def expected_version_conflicts(expected: DataFrame, streams: DataFrame) -> DataFrame:
     """Expectations (stream_id, expected) that the durable version does not meet."""
     found = expected.join(streams, "stream_id", "left").select("stream_id", "expected", F.coalesce("current_version", F.lit(0).cast("long")).alias("actual"))

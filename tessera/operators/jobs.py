@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import states as S
 from tessera.functions.columns import limited
+from tessera.functions.numbering import global_sequence
 
 #: Most expired leases repaired by one claim, and the default wait before a retry in ms.
 MAINTENANCE, RETRY_MS = 64, 30_000
@@ -118,6 +119,23 @@ def extension_outcome(commands: DataFrame, jobs: DataFrame, now_ms: int) -> Data
     return both.select("job_id", outcome.alias("outcome"))
 
 
+def enqueue(specs: DataFrame, jobs: DataFrame, key: str, *ties: str) -> DataFrame:
+    """New jobs (job_id, queue, partition_key, and order columns) as pending ones above the last enqueue_sequence; ids that exist are left out (duplicate_jobs tells them)."""
+    base = jobs.agg(F.coalesce(F.max("enqueue_sequence"), F.lit(0).cast("long"))).collect()[0][0]
+    rows = global_sequence(specs.join(jobs.select("job_id"), "job_id", "left_anti"), "enqueue_sequence", key, *ties)
+    return rows.withColumns({"enqueue_sequence": F.col("enqueue_sequence") + base, "state": F.lit(S.PENDING), "attempt": F.lit(0), "not_before_ms": F.lit(0).cast("long"), "max_attempts": F.lit(3)})
+
+
+def duplicate_jobs(specs: DataFrame, jobs: DataFrame) -> DataFrame:
+    return specs.join(jobs, "job_id", "left_semi").select("job_id")
+
+
+def ended(jobs: DataFrame, now_ms: int) -> DataFrame:
+    """Jobs as they are once cancelled at now_ms: lease and retry time gone, the end's time set."""
+    none = {c: F.lit(None).cast(t) for c, t in (("worker_id", "string"), ("lease_expires_at_ms", "long"), ("retry_after_ms", "long"))}
+    return jobs.withColumns(none | {"state": F.lit(S.CANCELLED).cast("long"), "terminal_at_ms": F.lit(now_ms).cast("long")})
+
+
 def illegal_transitions(moves: DataFrame) -> DataFrame:
     """Moves (from_state, to_state) that no rule allows; the thirteen rules are broadcast."""
     return moves.join(F.broadcast(S.transition_table(moves.sparkSession)), ["from_state", "to_state"], "left_anti")

@@ -22,6 +22,15 @@ def state_after_clear(changes: DataFrame) -> DataFrame:
     return state(after.drop("cleared"))
 
 
+def expand_replace(changes: DataFrame) -> DataFrame:
+    """Each op `replace` (its entries: an array of key and value) as a clear and the puts after it; seq becomes (seq, place)."""
+    clear = F.array(F.struct(F.lit("clear").alias("op"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast(changes.schema["value"].dataType).alias("value")))
+    puts = F.transform("entries", lambda e: F.struct(F.lit("put").alias("op"), e["key"].alias("key"), e["value"].alias("value")))
+    steps = F.when(F.col("op") == "replace", F.concat(clear, puts)).otherwise(F.array(F.struct("op", "key", "value")))
+    rows = changes.select("projection", "seq", F.posexplode(steps).alias("place", "step"))
+    return rows.select("projection", F.struct("seq", "place").alias("seq"), "step.*")
+
+
 def patch_duplicate_keys(mutations: DataFrame) -> DataFrame:
     """Keys that a patch (patch, idx, op, key) touches twice without a clearing in between; replace rows carry their keys as puts after a clear."""
     segment = F.sum(F.when(F.col("op") == "clear", 1).otherwise(0)).over(W.partitionBy("patch").orderBy("idx"))

@@ -13,6 +13,8 @@ from tessera.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: The SQL of each query without its views.
+SQL: dict[str, str] = {}
 
 #: 1999-01-01, the time at which plans are made.
 NOW = 915_148_800_000
@@ -50,6 +52,7 @@ def query(name: str, uses: str, sql: str):
     def register(f):
         wanted = {v for u in uses.split() for v in [u, *NEEDS.get(u, [])]}
         prelude = ", ".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in wanted)
+        SQL[name] = sql
         QUERIES[name], ORACLE[name] = f, f"WITH {prelude} {sql}" if prelude else sql.replace(", ", "WITH ", 1) if sql.startswith(",") else sql
         return f
 
@@ -370,9 +373,14 @@ def verify_foreign_keys(spark, d):
     return verify.report(first, verify.foreign_key(views.receipts(spark, d), "job_id", views.jobs(spark, d, ordered=False).where("job_id % 10 <> 0"), "receipts"))
 
 
-@query("verify_report", "st jb rc", f"{BROKEN} {WRONG} UNION ALL {ORPHAN} UNION ALL {RECEIPT} UNION ALL SELECT 'leased_jobs', 'job ' || job_id || ' lacks part of its lease' FROM jb WHERE state = 1 AND job_id % 5 = 0")
+LEASED = "SELECT 'leased_jobs' AS check, 'job ' || job_id || ' lacks part of its lease' AS detail FROM jb WHERE state = 1 AND job_id % 5 = 0"
+CHECKS = ("verify_terminal_jobs", "verify_active_partitions", "verify_receipt_transactions", "verify_foreign_keys")
+
+
+@query("verify_report", "ev st tx jb rc", " UNION ALL ".join([f"{BROKEN} {WRONG}", ORPHAN, RECEIPT, LEASED, *(f"SELECT * FROM ({SQL[c]})" for c in CHECKS)]))
 def verify_report(spark, d):
-    return verify.report(verify_stream_versions(spark, d), verify_orphan_streams(spark, d), verify_receipt_jobs(spark, d), verify_leased_jobs(spark, d))
+    """All eight checks."""
+    return verify.report(verify_stream_versions(spark, d), verify_orphan_streams(spark, d), verify_receipt_jobs(spark, d), verify_leased_jobs(spark, d), *(QUERIES[c](spark, d) for c in CHECKS))
 
 
 @query("stats_counts", "ev tx st jb pv pe", "SELECT 'transactions' AS name, count(*) AS rows FROM tx UNION ALL SELECT 'events', count(*) FROM ev UNION ALL SELECT 'streams', count(*) FROM st UNION ALL SELECT 'projections', count(*) FROM pv UNION ALL SELECT 'entries', count(*) FROM pe UNION ALL SELECT 'active_partitions', count(*) FROM (SELECT DISTINCT queue, partition_key FROM jb WHERE state < 4)")
@@ -415,3 +423,69 @@ def export_jobs(spark, d):
 @query("limit_violations", "", "SELECT event_id, octet_length(encode(props))::BIGINT AS size FROM events WHERE octet_length(encode(props)) > 8")
 def limit_violations(spark, d):
     return views.event_rows(spark, d).select("event_id", F.octet_length("payload").cast("long").alias("size")).where("size > 8")
+
+
+@query("projection_after_replace", "pc", """, cut AS (SELECT projection, max(seq) AS c FROM pc WHERE key = 'cust:7' GROUP BY 1), r AS (SELECT pc.*, c, row_number() OVER (PARTITION BY pc.projection, key ORDER BY seq DESC) AS n FROM pc LEFT JOIN cut USING (projection) WHERE c IS NULL OR seq >= c)
+    SELECT projection, lower(hex(key)) AS key, value FROM r WHERE n = 1 AND (op = 'put' OR key = 'cust:7')""")
+def projection_after_replace(spark, d):
+    """Each change of customer 7 read as a replacement of its projection by that one entry."""
+    replaced = F.col("key") == F.lit(b"cust:7")
+    rows = views.changes(spark, d).withColumns({"op": F.when(replaced, "replace").otherwise(F.col("op")), "entries": F.when(replaced, F.array(F.struct("key", "value")))})
+    return shown(projections.state_after_clear(projections.expand_replace(rows)))
+
+
+@query("upsert_streams", "st", "SELECT stream_id, max(current_version) AS current_version FROM (SELECT * FROM st UNION ALL SELECT 'user:' || user_id, event_id % 300 FROM events UNION ALL SELECT 'expected', 0) GROUP BY 1")
+def upsert_streams(spark, d):
+    rows = views.event_rows(spark, d).select("stream_id", (F.col("event_id") % 300).alias("current_version"))
+    expected = spark.range(1).select(F.lit("expected").alias("stream_id"), F.lit(0).cast("long").alias("current_version"))
+    return events.upsert_streams(views.streams(spark, d), rows.unionByName(expected))
+
+
+@query("request_digests", "", """SELECT event_id AS transaction_id, sha256(unhex(printf('%016x', epoch_us(ts) // 1000)) || '\\x00'::BLOB || unhex(printf('%016x', octet_length(encode(props)))) || encode(props) || unhex(printf('%016x', 1))
+    || unhex(printf('%016x', octet_length(encode('user:' || user_id)))) || encode('user:' || user_id) || unhex(printf('%016x', event_id % 100)) || unhex(printf('%016x', 0))) AS request_digest FROM events""")
+def request_digests(spark, d):
+    rows = views.event_rows(spark, d)
+    return events.expectation_digest(rows.select(F.col("event_id").alias("transaction_id"), F.col("occurred_at_ms").alias("committed_at_ms"), F.col("payload").alias("metadata"), "stream_id", (F.col("event_id") % 100).alias("expected")))
+
+
+@query("enqueue_jobs", "jb", """SELECT (SELECT max(enqueue_sequence) FROM jb) + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS enqueue_sequence, o_orderkey + 700 AS job_id, o_orderpriority AS queue, 0 AS state, 0 AS attempt, 0 AS not_before_ms, 3 AS max_attempts
+    FROM orders WHERE o_orderkey + 700 NOT IN (SELECT job_id FROM jb)""")
+def enqueue_jobs(spark, d):
+    specs = views.table(spark, d, "orders").select((F.col("o_orderkey") + 700).alias("job_id"), F.col("o_orderpriority").alias("queue"), "o_orderdate")
+    return jobs.enqueue(specs, views.jobs(spark, d), "o_orderdate", "job_id").drop("o_orderdate")
+
+
+@query("duplicate_jobs", "jb", "SELECT o_orderkey + 700 AS job_id FROM orders WHERE o_orderkey + 700 IN (SELECT job_id FROM jb)")
+def duplicate_jobs(spark, d):
+    return jobs.duplicate_jobs(views.table(spark, d, "orders").select((F.col("o_orderkey") + 700).alias("job_id")), views.jobs(spark, d, ordered=False))
+
+
+@query("jobs_ended", "jb", f"SELECT job_id, 6 AS state, {NOW} AS terminal_at_ms, NULL::VARCHAR AS worker_id, NULL::BIGINT AS lease_expires_at_ms, NULL::BIGINT AS retry_after_ms, attempt FROM jb WHERE state < 2")
+def jobs_ended(spark, d):
+    return jobs.ended(views.jobs(spark, d, ordered=False).where("state < 2"), NOW).select("job_id", "state", "terminal_at_ms", "worker_id", "lease_expires_at_ms", "retry_after_ms", "attempt")
+
+
+@query("export_transactions", "tx", "SELECT 'transaction' AS kind, * FROM tx")
+def export_transactions(spark, d):
+    return export.redacted(views.transactions(spark, d), "transaction", [])
+
+
+@query("export_streams", "st", "SELECT 'stream' AS kind, * FROM st")
+def export_streams(spark, d):
+    return export.redacted(views.streams(spark, d), "stream", [])
+
+
+@query("export_projection_entries", "pe", "SELECT 'projection_entry' AS kind, projection, lower(hex(key)) AS key_hex, octet_length(encode(value::VARCHAR)) > 0 AS has_value FROM pe")
+def export_projection_entries(spark, d):
+    rows = entries(spark, d).select("projection", hexed("key").alias("key_hex"), F.col("value").isNotNull().alias("has_value"))
+    return export.redacted(rows, "projection_entry", [])
+
+
+@query("export_active_partitions", "jb", "SELECT 'active_partition' AS kind, queue, partition_key, min(enqueue_sequence) AS first_active_sequence FROM jb WHERE state < 4 GROUP BY 2, 3")
+def export_active_partitions(spark, d):
+    return export.redacted(jobs.active_partitions(views.jobs(spark, d)), "active_partition", [])
+
+
+@query("export_claim_receipts", "rc", "SELECT 'claim_receipt' AS kind, transaction_id, job_id, attempt FROM rc")
+def export_claim_receipts(spark, d):
+    return export.redacted(views.receipts(spark, d).drop("lease_token"), "claim_receipt", [])

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -77,3 +79,32 @@ def test_following_a_table_commits_each_batch_once(spark, tmp_path):
     follow(rows, handle, str(tmp_path / "c")).awaitTermination()
     follow(rows, handle, str(tmp_path / "c")).awaitTermination()
     assert store.stream_version("s") == 5
+
+
+def test_a_hot_key_is_cut_at_its_ties(spark):
+    """Nine of ten rows have one key; numbers stay exact, and no range holds more than a part of them."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.numbering import global_sequence, quantiles
+
+    rows = spark.range(2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(700).alias("key"), (F.col("id") * 7919 % 2000).alias("tie"))
+    got = global_sequence(rows, "n", "key", "tie").collect()
+    assert [r["n"] for r in sorted(got)] == list(range(1, 2001))
+    assert quantiles(rows, "key", 4).count(700) >= 2
+    plan = global_sequence(rows, "n", "key", "tie")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"tie#\d+L >= ", plan)
+
+
+def test_digests_of_rows_are_those_of_batches(spark):
+    from tessera.operators.events import expectation_digest
+    from tessera.store import CommitBatch
+
+    rows = [(n, 1000 + n, bytes([n]) * n, f"stream-é{n}", n * 3) for n in range(5)]
+    got = {r[0]: r[1] for r in expectation_digest(spark.createDataFrame(rows, "transaction_id long, committed_at_ms long, metadata binary, stream_id string, expected long")).collect()}
+    for n, at, metadata, stream, version in rows:
+        assert got[n] == CommitBatch(bytes([1] * 16), at, metadata=metadata).expect_stream_version(stream, version).digest().hex()
+
+
+def test_point_reads_filter_in_the_scan(spark):
+    plan = catalogue.QUERIES["projection_get"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderpriority,3-MEDIUM)" in plan and "Window" not in plan
