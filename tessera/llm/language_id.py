@@ -43,11 +43,11 @@ def sample(docs: DataFrame, pieces: int, piece: int) -> dict[str, list[str]]:
         return {}
     pieces = max(1, min(pieces, ALL_PIECES // len(sizes)))
     share = F.element_at(F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, pieces / n)))), F.col("lang"))
-    chance = lambda k: F.pmod(F.xxhash64("doc_id", F.length("text"), k), F.lit(1 << 30))
+    chance = lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 30))
     taken = known.select("lang", "doc_id", "text", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: chance(k) < share * (1 << 30))).alias("k"))
-    cut = taken.select("lang", "doc_id", "k", F.substring("text", (F.col("k") * piece + 1).cast("int"), F.lit(piece)).alias("part")).orderBy("doc_id", "k", "part")
+    cut = taken.select("lang", "doc_id", "k", F.substring("text", (F.col("k") * piece + 1).cast("int"), F.lit(piece)).alias("part"))
     out: dict[str, list[str]] = {}
-    for r in cut.collect():
+    for r in sorted(cut.collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["k"], r["part"])):
         out.setdefault(r["lang"], []).append(r["part"])
     return {k: v for k, v in out.items() if any(c.isalpha() for p in v for c in p)}
 
