@@ -9,7 +9,7 @@ its neighbours.
 A data set is a Parquet table of segments in ascending doc_id order: shard and segment numbers, the ids and
 token counts of the documents, the ids before them in the shard, the ids on each level, and the codes of all
 levels as one value. Executors can write to a shared store through Spark only, hence Parquet; but codes are
-written without compression and with a row group for each segment, so their bytes lie in the file as they
+written without compression and in a file for each segment, so their bytes lie in the file as they
 are. Reader finds a segment's place from the file's footer and then reads the few bytes that a token needs.
 
 Defined cases: null text counts as empty (one end token); a very long text is one document of one segment; repeated
@@ -36,8 +36,8 @@ SCHEMA = StructType([
     StructField("shard", IntegerType()), StructField("segment", IntegerType()), StructField("before", LongType()), StructField("n_tokens", LongType()),
     StructField("doc_ids", ArrayType(LongType())), StructField("lengths", ArrayType(LongType())), StructField("sizes", ArrayType(LongType())), StructField("codes", BinaryType()),
 ])
-#: A row group per segment, values as they are.
-WRITE = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}
+#: A file per segment, values as they are.
+WRITE = {"compression": "none", "parquet.enable.dictionary": "false", "maxRecordsPerFile": "1"}
 
 
 def encode(ids) -> tuple[list[int], bytes]:
@@ -242,11 +242,11 @@ class Reader:
         if place - base >= row["before"] + row["n_tokens"]:
             raise IndexError(place)
         opened, footer = self._file(row["file"])
-        group = footer.row_group(row["segment"])
+        group = footer.row_group(0)
         column = next(c for c in map(group.column, range(group.num_columns)) if c.path_in_schema == "codes")
         size = places(row["sizes"])[-1][0]
-        begin = column.data_page_offset + column.total_compressed_size - size  # a group has one value of codes, at the end of its one page
-        if group.num_rows != 1 or int.from_bytes(opened.get(begin - 4, 4), "little") != size:
+        begin = column.data_page_offset + column.total_compressed_size - size  # a file has one value of codes, at the end of its one page
+        if footer.num_rows != 1 or int.from_bytes(opened.get(begin - 4, 4), "little") != size:
             raise ValueError(f"{row['file']} is not laid out as write() does")
         return token_at(row["sizes"], lambda at, n: opened.get(begin + at, n), place - base - row["before"])
 
