@@ -12,8 +12,11 @@ import re
 import string
 import struct
 
-#: Most odd chunks, and most bare words, in each of a cache's two halves (about 200 MB in all); bytes of text that are worked on together.
-CHUNKS, CORES, BATCH = 100_000, 500_000, 12 << 20
+#: For each kind of vocabulary: bytes that odd chunks, and bare words, may take in each of a cache's two halves; bytes of text that
+#: are worked on together. Those of words are smaller, as packing follows other stages in the same workers.
+WORD_ROOM, BYTE_ROOM = (8 << 20, 24 << 20, 4 << 20), (24 << 20, 80 << 20, 12 << 20)
+#: Bytes that an entry of a cache takes besides those of its key and value.
+ENTRY = 130
 #: Letters of ASCII and of U+00C0 to U+00FF, then ASCII punctuation: such a chunk is one
 #: match of letters and one of punctuation for either kind of vocabulary, and composed already.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
@@ -35,10 +38,10 @@ def loaded(path: str):
 
 
 class Halves:
-    """A dictionary of bounded size: when the new half is full it becomes the old one, and what is asked for again moves back."""
+    """A dictionary of bytes bounded in bytes: when the new half is full it becomes the old one, and what is asked for again moves back. What would fill a sixteenth of a half is not kept."""
 
     def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+        self.most, self.held, self.new, self.old = most, 0, {}, {}
 
     def get(self, key):
         value = self.new.get(key)
@@ -47,9 +50,13 @@ class Halves:
         return value
 
     def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
+        size = len(key) + len(value) + ENTRY
+        if size > self.most // 16:
+            return
+        if self.held + size > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
         self.new[key] = value
+        self.held += size
 
 
 class Cached:
@@ -58,12 +65,13 @@ class Cached:
     A plain chunk is letters and then punctuation: one or two pre-tokens, for each of which the library's model
     is asked. Others go through the whole tokenizer. A batch of texts is worked on by its distinct chunks; what
     is done for each occurrence is one gather. lower: whether the tokenizer's normalizer puts letters in lower
-    case. lead: what stands before every chunk but the first of a text, and is not part of it.
+    case. lead: what stands before every chunk but the first of a text, and is not part of it. chunks, cores:
+    bytes of a half of either cache.
     """
 
-    def __init__(self, path: str, lower: bool, lead: bytes):
+    def __init__(self, path: str, lower: bool, lead: bytes, chunks: int, cores: int):
         self.tokenizer, self.lower, self.lead = loaded(path), lower, lead
-        self.chunks, self.cores = Halves(CHUNKS), Halves(CORES)
+        self.chunks, self.cores = Halves(chunks), Halves(cores)
 
     def core(self, word: bytes) -> bytes:
         """Ids of one pre-token."""
@@ -165,15 +173,15 @@ def gathered(flat, sizes, picks) -> tuple:
     return flat[spot], n
 
 
-def parts(rows):
-    """Slices of an Arrow array (or of an iterable) of texts as large strings, null as empty, of about BATCH bytes, or of one text that is longer."""
+def parts(rows, most: int):
+    """Slices of an Arrow array (or of an iterable) of texts as large strings, null as empty, of about `most` bytes, or of one text that is longer."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     column = rows if isinstance(rows, pa.Array) else pa.array(list(rows), pa.large_binary())
     column = pc.fill_null(column.cast(pa.large_string()), "")
-    turn = np.cumsum(pc.binary_length(column).to_numpy()) // BATCH
+    turn = np.cumsum(pc.binary_length(column).to_numpy()) // most
     cuts = np.flatnonzero(np.diff(turn)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(column)]):
         if b > a:
@@ -190,12 +198,13 @@ def word_encoder(path: str):
 
     Chunks: what stands between ASCII white space.
     """
-    cache = Cached(path, lower=True, lead=b"")
+    *room, most = WORD_ROOM
+    cache = Cached(path, True, b"", *room)
 
     def encode(rows):
         import pyarrow.compute as pc
 
-        for texts in parts(rows):
+        for texts in parts(rows, most):
             flat, ends = cache.batch(pc.ascii_split_whitespace(texts))
             yield from (flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:]))
 
@@ -225,13 +234,14 @@ def byte_chunks(text: bytes) -> list[bytes]:
 @functools.cache
 def byte_encoder(path: str):
     """The same for a byte-level vocabulary without normalizer that cuts as byte_chunks says. Texts without unclear spaces are cut by Arrow at all of them."""
-    cache = Cached(path, lower=False, lead=b" ")
+    *room, most = BYTE_ROOM
+    cache = Cached(path, False, b" ", *room)
 
     def encode(rows):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for texts in parts(rows):
+        for texts in parts(rows, most):
             whole = texts.cast(pa.large_binary()).to_pylist()
             hard = [k for k, text in enumerate(whole) if UNCLEAR.search(text)]
             mask = pa.array([True] * len(whole)) if not hard else pc.invert(pc.is_in(pa.array(range(len(whole))), pa.array(hard)))

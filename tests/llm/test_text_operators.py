@@ -101,6 +101,27 @@ def test_cached_ids_are_the_ids_of_the_library(path, encoder):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_the_encoder_of_packing_takes_little_memory():
+    """Its working arrays, and what it keeps of a text of new words and of long chunks without white space."""
+    import tracemalloc
+
+    encode, dice = tokens.word_encoder.__wrapped__(WORDS), random.Random(8)
+    known = " ".join(dice.choice("abcde") * dice.randrange(1, 9) for _ in range(4000))
+    long = " ".join(f"{n}{'x1' * 60_000}" for n in range(12))
+    for _ in encode([b"a b1"]):
+        pass
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in encode([known.encode()] * 500)) == 500
+        assert tracemalloc.get_traced_memory()[1] < 90 << 20
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        assert sum(1 for _ in encode([long.encode()])) == 1
+        assert tracemalloc.get_traced_memory()[0] - before < 4 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_packing(odd_docs, no_docs):
     from tokenizers import Tokenizer
 
